@@ -109,8 +109,8 @@ def search(src: str, key: str, tag: str, width: int = 50, penalty: float = 5.0)
             FROM {src} GROUP BY ALL),
 {tag}_base AS (
   SELECT s.datum, s.{key}, s.frame, n, v,
-         avg(raw - mean) OVER (w ROWS BETWEEN {half - 1} PRECEDING AND CURRENT ROW) AS ml,
-         avg(raw - mean) OVER (w ROWS BETWEEN 1 FOLLOWING AND {half} FOLLOWING) AS mr,
+         sum(raw - mean) OVER (w ROWS BETWEEN {half - 1} PRECEDING AND CURRENT ROW) AS sl,
+         sum(raw - mean) OVER (w ROWS BETWEEN 1 FOLLOWING AND {half} FOLLOWING) AS sr,
          sum(raw - mean) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s,
          CASE WHEN s.frame = 1 THEN lead(raw) OVER w - raw
               WHEN s.frame = n THEN raw - lag(raw) OVER w
@@ -122,7 +122,7 @@ def search(src: str, key: str, tag: str, width: int = 50, penalty: float = 5.0)
   WINDOW w AS (PARTITION BY s.datum, s.{key} ORDER BY s.frame)),
 {tag}_flag AS (SELECT *, (lead(trend) OVER w - lag(trend) OVER w) / 2 AS trend_grad
                FROM {tag}_base WINDOW w AS (PARTITION BY datum, {key} ORDER BY frame)),
-{tag}_score AS (SELECT *, {half}.0 / 2 * (ml - mr) * (ml - mr) / v AS score, n - 2 * {half} AS m
+{tag}_score AS (SELECT *, {half}.0 / 2 * power((sl - sr) / {half}, 2) / v AS score, n - 2 * {half} AS m
                 FROM {tag}_flag WHERE frame >= {half} AND frame < n - {half} AND v > 0),
 {tag}_ring AS (SELECT datum, {key}, frame, score, frame - {half} AS pos, true AS own FROM {tag}_score
                UNION ALL SELECT datum, {key}, frame, score, frame - {half} + m, false FROM {tag}_score

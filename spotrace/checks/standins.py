@@ -34,6 +34,12 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
+def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where a stored stand-in lies, for reading it as a stream."""
+    first = _stored[(spark.sparkContext.applicationId, sf_dir, name)].inputFiles()[0]
+    return first.rsplit("/", 1)[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -164,14 +170,17 @@ def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions_of(table(spark, sf_dir, "events"))
+
+
+def actions_of(events: DataFrame) -> DataFrame:
     """Events as review actions; ``event_id`` rises with time and serves as sequence."""
     action = F.lit(None).cast("string")
     for kind, key in ACTION_OF.items():
         action = F.when(F.col("event_type") == kind, key).otherwise(action)
     t1 = F.round(F.col("value"))
     return (
-        table(spark, sf_dir, "events")
-        .select(
+        events.select(
             (F.col("user_id") % 2).cast("int").alias("datum"),
             F.col("user_id").cast("int").alias("trace_num"),
             F.col("event_id").alias("seq"),
