@@ -463,6 +463,10 @@ def _dwell(spark, sf):
     )
 
 
+def _counts(spark, sf):
+    return materialize(stats.dwell_counts(_dwell(spark, sf)), "dwell")
+
+
 @query(_with(oracle.ORDER_STATUS) + "SELECT datum, trace_num, dwell_s FROM (SELECT datum, trace_num, CAST(fusion_start AS DOUBLE) AS dwell_s FROM ostatus WHERE is_fusion AND NOT is_excluded)")
 def dwell_orders(spark, sf):
     return events.dwell_times(standins.order_status(spark, sf), standins.order_manifest(spark, sf))
@@ -479,7 +483,7 @@ def ecdf(spark, sf):
     {rnd('avg(dwell_s) * avg(dwell_s) / nullif(var_pop(dwell_s), 0)', 6, 'n_min')} FROM dwell GROUP BY datum"""
 )
 def n_min(spark, sf):
-    return rounded(rounded(stats.dwell_moments(_dwell(spark, sf)), 4, "mean"), 3, "variance").withColumn(
+    return rounded(rounded(stats.dwell_moments(stats.dwell_counts(_dwell(spark, sf))), 4, "mean"), 3, "variance").withColumn(
         "n_min", F.round("n_min", 6) + 0.0
     )
 
@@ -497,19 +501,19 @@ quality AS (SELECT c.datum, 1 - sum(power(CAST(c.i AS DOUBLE) / c.n - p.fit, 2))
 
 @query(_with(_FIT) + f"SELECT datum, n, {rnd('shape', 4, 'shape')}, {rnd('loc', 3, 'loc')}, {rnd('scale', 3, 'scale')} FROM fit")
 def gamma_fit(spark, sf):
-    fit = stats.gamma_fit(stats.dwell_counts(_dwell(spark, sf))).drop("log_lik").withColumn("n", F.col("n").cast("long"))
+    fit = stats.gamma_fit(_counts(spark, sf)).drop("log_lik").withColumn("n", F.col("n").cast("long"))
     return rounded(rounded(fit, 4, "shape"), 3, "loc", "scale")
 
 
 @query(_with(_FITTED) + f"SELECT datum, dwell_s, {rnd('fit', 6, 'fit')} FROM points")
 def gamma_cdf(spark, sf):
-    counts = stats.dwell_counts(_dwell(spark, sf))
+    counts = _counts(spark, sf)
     return rounded(stats.fitted_curve(counts, stats.gamma_fit(counts)), 6, "fit").select("datum", "dwell_s", "fit")
 
 
 @query(_with(_FITTED) + f"SELECT datum, {rnd('r2', 6, 'r2')} FROM quality")
 def fit_r2(spark, sf):
-    counts = stats.dwell_counts(_dwell(spark, sf))
+    counts = _counts(spark, sf)
     return rounded(stats.r_squared(stats.fitted_curve(counts, stats.gamma_fit(counts))), 6, "r2")
 
 

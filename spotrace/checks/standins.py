@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spotrace.functions.chunks import chunk_of, with_chunk
+from spotrace.functions.chunks import attach_stats, chunk_of, with_chunk
 from spotrace.operators.ranking import bucketed_row_number
 from spotrace.operators.series import running_sum, trace_stats
 from spotrace.session import broadcast_if_small, materialize
@@ -74,7 +74,7 @@ def build_walk_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     summed = running_sum(cents)
     per_chunk = totals.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk_of("last"))))
-    joined = with_chunk(summed).join(per_chunk, ["datum", "trace_num", "chunk"])
+    joined = attach_stats(with_chunk(summed), per_chunk, ["datum", "trace_num"])
     mean = F.col("total").cast("double") / 100.0 / F.col("n").cast("double")
     return joined.select(
         "datum", "trace_num", "frame",

@@ -79,9 +79,11 @@ def series_stats(
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join chunked samples with their statistics on (trace, chunk).
+    """Join chunked samples with rows per (trace, chunk).
 
-    The chunk in the key spreads a hot trace over many tasks, and the windows
-    that follow reuse the same partitioning.
+    The chunk in the key spreads a hot trace over many tasks.  The hint keeps
+    the small side as the hash table of each partition: samples are shuffled
+    once, never broadcast or sorted for the join, and the windows that follow
+    reuse the partitioning.
     """
-    return df.join(stats, [*keys, "chunk"])
+    return df.join(stats.hint("shuffle_hash"), [*keys, "chunk"])

@@ -1,7 +1,8 @@
-"""Gamma-family special functions: column expressions and one vectorised UDF.
+"""Gamma-family special functions: SQL expressions and one vectorised UDF.
 
-The column expressions shift the argument up by ``SHIFT`` and use the
-asymptotic series there; the error is below 1e-11 for positive arguments.
+The expressions shift the argument up by ``SHIFT`` and use the asymptotic series
+there; the error is below 1e-11 for positive arguments.  They are text, so that
+they can be nested in lambda functions and stay small in a plan.
 """
 
 from __future__ import annotations
@@ -18,34 +19,27 @@ SHIFT = 8
 HALF_LOG_TWO_PI = 0.9189385332046727
 
 
-def lgamma(x: Column) -> Column:
-    z = x + SHIFT
-    rising = x
-    for k in range(1, SHIFT):
-        rising = rising * (x + k)
-    inv = 1.0 / z
-    series = inv / 12 - F.pow(inv, 3) / 360 + F.pow(inv, 5) / 1260 - F.pow(inv, 7) / 1680
-    return (z - 0.5) * F.log(z) - z + HALF_LOG_TWO_PI + series - F.log(rising)
-
-
-def digamma(x: Column) -> Column:
-    z = x + SHIFT
-    below = 1.0 / x
-    for k in range(1, SHIFT):
-        below = below + 1.0 / (x + k)
-    inv2 = 1.0 / (z * z)
-    series = inv2 / 12 - inv2 * inv2 / 120 + F.pow(inv2, 3) / 252 - F.pow(inv2, 4) / 240
-    return F.log(z) - 0.5 / z - series - below
-
-
-def trigamma(x: Column) -> Column:
-    z = x + SHIFT
-    below = 1.0 / (x * x)
-    for k in range(1, SHIFT):
-        below = below + 1.0 / ((x + k) * (x + k))
-    inv = 1.0 / z
-    series = inv + F.pow(inv, 2) / 2 + F.pow(inv, 3) / 6 - F.pow(inv, 5) / 30 + F.pow(inv, 7) / 42
-    return series + below
+def _shifted_sum(term: str) -> str:
+    """Sum of ``term`` in k over the unit steps that the shift skips."""
+    return f"aggregate(sequence(0, {SHIFT - 1}), 0D, (acc, k) -> acc + {term})"
+
+
+def lgamma_sql(x: str) -> str:
+    z = f"({x} + {SHIFT})"
+    series = f"1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5)) - 1 / (1680 * pow({z}, 7))"
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {HALF_LOG_TWO_PI}D + {series} - {_shifted_sum(f'ln({x} + k)')})"
+
+
+def digamma_sql(x: str) -> str:
+    z = f"({x} + {SHIFT})"
+    series = f"1 / (12 * pow({z}, 2)) - 1 / (120 * pow({z}, 4)) + 1 / (252 * pow({z}, 6)) - 1 / (240 * pow({z}, 8))"
+    return f"(ln({z}) - 0.5D / {z} - ({series}) - {_shifted_sum(f'1 / ({x} + k)')})"
+
+
+def trigamma_sql(x: str) -> str:
+    z = f"({x} + {SHIFT})"
+    series = f"1 / {z} + 1 / (2 * pow({z}, 2)) + 1 / (6 * pow({z}, 3)) - 1 / (30 * pow({z}, 5)) + 1 / (42 * pow({z}, 7))"
+    return f"({series} + {_shifted_sum(f'1 / (({x} + k) * ({x} + k))')})"
 
 
 def lower_incomplete(a: np.ndarray, z: np.ndarray) -> np.ndarray:

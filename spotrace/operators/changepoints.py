@@ -39,7 +39,7 @@ from spotrace.model import (
     TRACE_KEYS,
 )
 from spotrace.operators.ranking import bucketed_row_number
-from spotrace.operators.series import gradient_of, trend_gradient_of
+from spotrace.operators.series import trend_gradient_of
 from spotrace.session import broadcast_if_small, materialize
 
 
@@ -62,15 +62,17 @@ def _scored(
         *keys, "chunk", "frame", "is_home", "n", "var_samp", "before",
         F.sum("c").over(upto).alias("p"),
         F.sum(F.when(F.col("is_home"), F.col("c")).otherwise(0.0)).over(upto).alias("home_p"),
-        (gradient_of("c", w) > 0).alias("rising"),
+        # Sign of the gradient, one-sided at the ends.
+        (F.coalesce(F.lead("c", 1).over(w), F.col("c")) > F.coalesce(F.lag("c", 1).over(w), F.col("c")))
+        .alias("rising"),
         (trend_gradient_of("c", w, period) >= 0).alias("trend_ok"),
     )
     left = F.when(F.col("frame") == half, F.lit(0.0)).otherwise(F.lag("p", half).over(w))
     step = (2 * F.col("p") - left - F.lead("p", half).over(w)) / half
     inside = (F.col("frame") >= half) & (F.col("frame") < F.col("n") - half)
-    return summed.withColumn(
-        "d2", F.when(inside & (F.col("var_samp") > 0), step * step)
-    ).withColumn("s", F.col("before") + F.col("home_p"))
+    return summed.withColumns({"step": step, "s": F.col("before") + F.col("home_p")}).withColumn(
+        "d2", F.when(inside & (F.col("var_samp") > 0), F.col("step") * F.col("step"))
+    ).drop("step", "p", "home_p", "before")
 
 
 def changepoint_score(

@@ -31,7 +31,7 @@ def bucketed_row_number(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        marked.join(offsets, [*keys, "_bucket"])
+        marked.join(offsets.hint("shuffle_hash"), [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("int"))
         .drop("_bucket", "_before")
     )

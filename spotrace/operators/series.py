@@ -135,8 +135,7 @@ def decompose(
     ).drop("last")
     seasonal = F.try_element_at("phases", (F.col("frame") - 1) % period) - F.col("centre")
     return (
-        with_chunk(trended, chunk_bits)
-        .join(per_chunk, [*keys, "chunk"])
+        attach_stats(with_chunk(trended, chunk_bits), per_chunk, keys)
         .withColumn("seasonal", seasonal)
         .withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
         .select(*samples.columns, "trend", "seasonal", "residual")
@@ -199,7 +198,7 @@ def running_sum(
     inside = F.sum(value).over(w)
     before = F.col("_before")
     return (
-        chunked.join(offsets, [*keys, "chunk"])
+        attach_stats(chunked, offsets, keys)
         .withColumn(name, F.when(before.isNull(), inside).otherwise(inside + before))
         .select(*samples.columns, name)
     )

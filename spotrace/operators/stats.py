@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotrace.functions.gamma import digamma, gamma_cdf, lgamma, trigamma
+from spotrace.functions.gamma import digamma_sql, gamma_cdf, lgamma_sql, trigamma_sql
+from spotrace.session import materialize
 
 TIE_BLOCK = 65_536
 
@@ -39,6 +40,11 @@ def dwell_counts(dwell: DataFrame) -> DataFrame:
 
 
 def ecdf(dwell: DataFrame) -> DataFrame:
+    """Empirical curve of each recording."""
+    return ranks(dwell_counts(dwell))
+
+
+def ranks(counts: DataFrame) -> DataFrame:
     """Sorted dwell times with ``p = rank / n``; ties get different ranks.
 
     Ranks are generated from the counts in blocks, so one very common dwell time
@@ -48,7 +54,7 @@ def ecdf(dwell: DataFrame) -> DataFrame:
     first = F.col("block") * TIE_BLOCK + 1
     last = F.least(F.col("c"), first + (TIE_BLOCK - 1))
     return (
-        dwell_counts(dwell)
+        counts
         .withColumn("block", F.explode(blocks))
         .withColumn("turn", F.explode(F.sequence(first, last)))
         .select(
@@ -58,13 +64,15 @@ def ecdf(dwell: DataFrame) -> DataFrame:
     )
 
 
-def dwell_moments(dwell: DataFrame) -> DataFrame:
+def dwell_moments(counts: DataFrame) -> DataFrame:
     """``n_min``: squared mean over variance, the reciprocal of the randomness."""
-    mean = F.avg("dwell_s")
-    return dwell.groupBy("datum").agg(
-        F.count("dwell_s").alias("n"),
-        mean.alias("mean"),
-        F.var_pop("dwell_s").alias("variance"),
+    whole = Window.partitionBy("datum")
+    c, t = F.col("c"), F.col("dwell_s")
+    centred = counts.withColumn("mean", F.sum(c * t).over(whole) / F.col("n"))
+    return centred.groupBy("datum").agg(
+        F.max("n").alias("n"),
+        F.max("mean").alias("mean"),
+        (F.sum(c * (t - F.col("mean")) * (t - F.col("mean"))) / F.max("n")).alias("variance"),
     ).withColumn("n_min", F.expr("try_divide(mean * mean, variance)"))
 
 
@@ -74,20 +82,19 @@ def _shape_and_likelihood(sums: DataFrame) -> DataFrame:
     Starts from the closed form and takes a fixed number of generalised Newton
     steps; only n, the mean and the mean logarithm of the excess are needed.
     """
-    s, shape = F.col("s"), F.col("shape")
-    fitted = sums.withColumn("s", F.log("mean") - F.col("mean_log")).filter("s > 0").withColumn(
-        "shape", (3 - s + F.sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)
+    newton = (
+        f"1 / (1 / a + (ln(a) - {digamma_sql('a')} - s) / (a * a * (1 / a - {trigamma_sql('a')})))"
     )
-    for _ in range(NEWTON_STEPS):
-        step = (F.log(shape) - digamma(shape) - s) / (
-            shape * shape * (1.0 / shape - trigamma(shape))
+    start = "(3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s)"
+    return (
+        sums.withColumn("s", F.log("mean") - F.col("mean_log"))
+        .filter("s > 0")
+        .withColumn("shape", F.expr(f"aggregate(sequence(1, {NEWTON_STEPS}), {start}, (a, step) -> {newton})"))
+        .withColumn("scale", F.col("mean") / F.col("shape"))
+        .withColumn(
+            "log_lik",
+            F.expr(f"n * ((shape - 1) * mean_log - shape - shape * ln(scale) - {lgamma_sql('shape')})"),
         )
-        fitted = fitted.withColumn("shape", 1.0 / (1.0 / shape + step))
-    scale = F.col("mean") / shape
-    return fitted.withColumn("scale", scale).withColumn(
-        "log_lik",
-        F.col("n")
-        * ((shape - 1) * F.col("mean_log") - shape - shape * F.log("scale") - lgamma(shape)),
     )
 
 
@@ -158,9 +165,9 @@ def r_squared(curve: DataFrame) -> DataFrame:
 
 def fit_summary(dwell: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Label, n, shape, scale, location, n_min and R2 of every recording with dwell times."""
-    counts = dwell_counts(dwell)
+    counts = materialize(dwell_counts(dwell), "dwell")
     fit = gamma_fit(counts)
-    moments = dwell_moments(dwell)
+    moments = dwell_moments(counts)
     quality = r_squared(fitted_curve(counts, fit))
     joined = moments.join(fit.drop("n"), "datum", "left").join(quality, "datum", "left")
     if manifest is not None:
@@ -171,10 +178,10 @@ def fit_summary(dwell: DataFrame, manifest: DataFrame | None = None) -> DataFram
 
 def curve_points(dwell: DataFrame, manifest: DataFrame) -> DataFrame:
     """Plot table: the empirical steps and the fitted curve of every recording."""
-    counts = dwell_counts(dwell)
+    counts = materialize(dwell_counts(dwell), "dwell")
     fitted = fitted_curve(counts, gamma_fit(counts)).select("datum", "dwell_s", "fit")
     return (
-        ecdf(dwell)
+        ranks(counts)
         .join(fitted, ["datum", "dwell_s"])
         .join(manifest.select("datum", "label"), "datum")
         .select("datum", "label", "rank", "dwell_s", "p", "fit")
