@@ -213,6 +213,12 @@ def defocus(spark, sf):
     return cp.defocus_frames(cp.region_changepoints(standins.walk_regions(spark, sf)))
 
 
+@query(_with(_SEARCH) + f"SELECT datum, trace_num, frame, {_SIGNS} FROM p_bkps")
+def cp_accept_chunked(spark, sf):
+    # Chunks of 128 frames: the way traces longer than a chunk are searched.
+    return cp.accepted_breakpoints(standins.walk_traces(spark, sf), chunk_bits=7)
+
+
 def _found(spark, sf):
     return standins.stored(
         spark, sf, "changepoints",
@@ -585,6 +591,16 @@ def region_intensity(spark, sf):
     return rounded(images.region_intensity(_pixels(spark, sf), SIDE), 2, "raw")
 
 
+@query(SQL["z_project"])
+def z_project_frames(spark, sf):
+    return rounded(images.z_project_frames(_frames(spark, sf)), 2, "v")
+
+
+@query(SQL["region_intensity"])
+def region_intensity_frames(spark, sf):
+    return rounded(images.region_intensity_frames(_frames(spark, sf), SIDE), 2, "raw")
+
+
 _BOX_SUM = _with(oracle.PIXELS, oracle.BOXES) + f"""SELECT p.datum, b.trace_num, p.frame, {rnd('sum(v) / b.width', 3, 'raw')}
   FROM pixels p JOIN boxes b ON b.datum = p.datum AND p.y BETWEEN b.y0 AND b.y0 + b.width - 1
   AND p.x BETWEEN b.x0 AND b.x0 + b.width - 1 GROUP BY p.datum, b.trace_num, p.frame, b.width"""
@@ -595,6 +611,13 @@ def box_intensity(spark, sf):
     return rounded(images.box_intensity(_pixels(spark, sf), standins.event_boxes(spark, sf)), 3, "raw")
 
 
+@query(_BOX_SUM)
+def box_intensity_shuffled(spark, sf):
+    # The way taken by box tables too large to broadcast.
+    boxes = standins.event_boxes(spark, sf)
+    return rounded(images.box_intensity(_pixels(spark, sf), boxes, max_broadcast_boxes=0), 3, "raw")
+
+
 @query(_BOX_SUM)
 def box_intensity_frames(spark, sf):
     return rounded(images.box_intensity_frames(_frames(spark, sf), standins.event_boxes(spark, sf)), 3, "raw")

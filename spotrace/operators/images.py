@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.model import DEFAULT_ROLLING_RADIUS, FRAME_SIDE
-from spotrace.session import BROADCAST_ROWS, broadcast_if_small
+from spotrace.session import is_small
 
 # Fixed values of the box growth: accepted boxes stopped at steps 2..11, and no
 # box is examined beyond step 13.
@@ -25,6 +25,12 @@ LEAST_STEPS = 2
 MOST_STEPS = 11
 LAST_STEP = 13
 
+# Partial images a task holds before it hands them on (8 MB each at full size).
+HELD_IMAGES = 16
+# Boxes are broadcast up to this many rows.
+BROADCAST_BOXES = 200_000
+BROADCAST_CELL_BOXES = 2_000
+
 DATUM = ("datum",)
 
 
@@ -106,6 +112,61 @@ def z_project(
     return pixels.groupBy(*keys, "y", "x").agg(combine("v").alias("v"))
 
 
+def z_project_frames(frames: DataFrame, keys: Sequence[str] = DATUM) -> DataFrame:
+    """Sum projection of packed frames, one row per pixel.
+
+    Each task adds up the frames it reads as arrays and hands on one partial
+    image per recording, so the shuffle carries images, not frames.
+    """
+    keys = list(keys)
+    fields = [frames.schema[k] for k in keys] + [frames.schema["width"]]
+    partial = T.StructType([*fields, T.StructField("pixels", T.ArrayType(T.DoubleType()))])
+
+    def add_up(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for row in zip(*[pdf[c] for c in (*keys, "width", "pixels")]):
+                image = np.asarray(row[-1], dtype=float)
+                held = sums.get(row[:-1])
+                sums[row[:-1]] = image.copy() if held is None else held + image
+            if len(sums) > HELD_IMAGES:
+                yield _image_rows(sums, partial)
+                sums = {}
+        if sums:
+            yield _image_rows(sums, partial)
+
+    images = frames.select(*keys, "width", "pixels").mapInPandas(add_up, partial)
+    return images.select(*keys, "width", F.posexplode("pixels").alias("pos", "v")).groupBy(
+        *keys, F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
+        (F.col("pos") % F.col("width")).alias("x"),
+    ).agg(F.sum("v").alias("v"))
+
+
+def _image_rows(sums: dict[tuple, np.ndarray], schema: T.StructType) -> pd.DataFrame:
+    out = pd.DataFrame(list(sums), columns=schema.names[:-1])
+    out[schema.names[-1]] = list(sums.values())
+    return out
+
+
+def region_intensity_frames(frames: DataFrame, side: int = FRAME_SIDE) -> DataFrame:
+    """Quadrant sums of packed frames, without a shuffle."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def quadrants(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        half = side // 2
+        spans = (slice(0, half), slice(half, side))
+        sums = []
+        for p, h, w in zip(pixels, height, width):
+            image = np.asarray(p, dtype=float).reshape(int(h), int(w))
+            sums.append([float(image[ys, xs].sum()) for xs in spans for ys in spans])
+        return pd.Series(sums)
+
+    summed = frames.select("datum", "frame", quadrants("pixels", "height", "width").alias("q"))
+    return summed.select("datum", "frame", F.posexplode("q").alias("pos", "raw")).select(
+        "datum", (F.col("pos") + 1).alias("region"), "frame", "raw"
+    )
+
+
 def rescale_16bit(image: DataFrame, keys: Sequence[str] = DATUM) -> DataFrame:
     """Linear rescale of each projection to the integers 0..65535."""
     spans = image.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -140,7 +201,7 @@ def _cells(boxes: DataFrame, *columns: str) -> DataFrame:
 
 
 def box_intensity(
-    pixels: DataFrame, boxes: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS
+    pixels: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = BROADCAST_CELL_BOXES
 ) -> DataFrame:
     """Trace samples: mean column profile times box length, per box and frame.
 
@@ -150,8 +211,8 @@ def box_intensity(
     spreads even one huge recording over its pixel positions.
     """
     cells = _cells(boxes, "datum", "trace_num")
-    if not boxes.isStreaming and boxes.limit(max_broadcast_rows // 100 + 1).count() <= max_broadcast_rows // 100:
-        cells = F.broadcast(cells)
+    if is_small(boxes, max_broadcast_boxes):
+        cells = F.broadcast(cells)  # at most 27 x 27 cells per box
     return (
         pixels.join(cells, ["datum", "y", "x"])
         .groupBy("datum", "trace_num", "frame")
@@ -159,14 +220,18 @@ def box_intensity(
     )
 
 
-def box_intensity_frames(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+def box_intensity_frames(
+    frames: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = BROADCAST_BOXES
+) -> DataFrame:
     """The same from packed frames: each frame sums its boxes in place.
 
     Boxes of a recording travel as one array (bounded by the pixels of a frame);
     frames never leave their partition when the box table is small.
     """
     box = F.struct("trace_num", "x0", "y0", "width")
-    lists = broadcast_if_small(boxes.groupBy("datum").agg(F.collect_list(box).alias("boxes")), 2_000)
+    lists = boxes.groupBy("datum").agg(F.collect_list(box).alias("boxes"))
+    if is_small(boxes, max_broadcast_boxes):
+        lists = F.broadcast(lists)
 
     def total(b: Column) -> Column:
         rows = F.sequence(b["y0"], b["y0"] + b["width"] - 1)

@@ -7,26 +7,26 @@ from pyspark.sql import DataFrame
 from spotrace.model import TRACE_KEYS
 from spotrace.operators.changepoints import find_changepoints
 from spotrace.operators.events import auto_status, dwell_times, fold_actions, reload_status
-from spotrace.operators.images import region_intensity
+from spotrace.operators.images import region_intensity_frames
 from spotrace.operators.stats import fit_summary
 from spotrace.session import materialize
 
 
 def automatic_events(
-    samples: DataFrame, pixels: DataFrame | None, manifest: DataFrame, side: int, **search
+    samples: DataFrame, frames: DataFrame | None, manifest: DataFrame, side: int, **search
 ) -> tuple[DataFrame, DataFrame]:
     """Changepoints and automatic labels; regions come from the unfiltered video."""
-    regions = None if pixels is None else region_intensity(pixels, side)
+    regions = None if frames is None else materialize(region_intensity_frames(frames, side), "regions")
     found = materialize(find_changepoints(samples, regions, manifest, **search), "changepoints")
     traces = samples.select(*TRACE_KEYS).distinct()
     return found, auto_status(found, traces, manifest)
 
 
 def automatic_statistics(
-    samples: DataFrame, pixels: DataFrame | None, manifest: DataFrame, side: int, **search
+    samples: DataFrame, frames: DataFrame | None, manifest: DataFrame, side: int, **search
 ) -> DataFrame:
     """Changepoints, labels, dwell times and the fit of every recording."""
-    _, status = automatic_events(samples, pixels, manifest, side, **search)
+    _, status = automatic_events(samples, frames, manifest, side, **search)
     return fit_summary(dwell_times(status, manifest), manifest)
 
 

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from spotrace.model import FRAME_SIDE
 from spotrace.operators.images import (
-    box_intensity,
+    box_intensity_frames,
     find_maxima,
     grow_boxes,
     pack_frames,
     renumber_kept,
     rescale_16bit,
     subtract_background,
-    unpack_frames,
-    z_project,
+    z_project_frames,
 )
-from spotrace.session import materialize
+from spotrace.session import broadcast_if_small, materialize
 
 
 def clean_frames(frames: DataFrame, manifest: DataFrame | None, background: str | None) -> DataFrame:
@@ -28,7 +27,7 @@ def clean_frames(frames: DataFrame, manifest: DataFrame | None, background: str
         return frames
     if background != "per_frame":
         raise ValueError("background is None or 'per_frame'")
-    radii = manifest.select("datum", "rolling_radius")
+    radii = broadcast_if_small(manifest.select("datum", "rolling_radius"))
     return subtract_background(frames.join(radii, "datum"), "rolling_radius").drop("rolling_radius")
 
 
@@ -45,11 +44,11 @@ def segment(
     repeated for every consumer.
     """
     cleaned = clean_frames(frames, manifest, background)
-    image = rescale_16bit(z_project(unpack_frames(cleaned)))
-    settings = manifest.select("datum", "peak_prominence", "profile_tolerance")
+    image = rescale_16bit(z_project_frames(cleaned))
+    settings = broadcast_if_small(manifest.select("datum", "peak_prominence", "profile_tolerance"))
     peaks = find_maxima(image.join(settings, "datum"), F.col("peak_prominence"))
     grown = grow_boxes(
-        image, peaks.join(settings.drop("peak_prominence"), "datum"), F.col("profile_tolerance"), height, width
+        image, peaks.join(settings, "datum"), F.col("profile_tolerance"), height, width
     )
     boxes = materialize(grown, "boxes")
     kept = renumber_kept(boxes).select("datum", "box_num", "trace_num")
@@ -65,7 +64,7 @@ def extract_traces(
 ) -> DataFrame:
     """The image stage: samples of every kept box of every recording."""
     boxes, cleaned = segment(frames, manifest, background, height, width)
-    return box_intensity(unpack_frames(cleaned), boxes.filter("is_kept"))
+    return box_intensity_frames(cleaned, boxes.filter("is_kept"))
 
 
 def segmentation_grid(
@@ -85,7 +84,7 @@ def segmentation_grid(
     radii = F.array(*[F.lit(r) for r in sorted({int(r) for r, _, _ in grid})])
     per_radius = subtract_background(frames.withColumn("radius", F.explode(radii)), "radius")
     by_radius = ["datum", "radius"]
-    image = rescale_16bit(z_project(unpack_frames(per_radius, by_radius), keys=by_radius), by_radius)
+    image = rescale_16bit(z_project_frames(per_radius, by_radius), by_radius)
     tried = image.withColumn(
         "trial", F.explode(F.filter(trials, lambda t: t["radius"] == F.col("radius")))
     ).select("datum", "radius", "trial.prominence", "trial.tolerance", "y", "x", "v")

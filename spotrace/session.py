@@ -48,14 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the side is proven small, else leave the join to Spark.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table is proven to have at most ``max_rows`` rows.
 
-    The check counts at most ``max_rows + 1`` rows, so pass tables that are
-    cheap to read (a manifest, a stored box table), not a long derivation.
+    Counts no more than ``max_rows + 1`` rows, so pass tables that are cheap to
+    read (a manifest, a stored box table), not a long derivation.
     """
-    if df.isStreaming:
-        return df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return not df.isStreaming and df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the side is proven small, else leave the join to Spark."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

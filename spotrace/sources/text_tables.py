@@ -38,9 +38,13 @@ def _with_label(rows: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """Write (label, trace_num, ..., value), whole records per file, ordered by record."""
+    """Write (label, number, ..., value) ordered by record, each record within one file.
+
+    Ranges of (label, number) become files, so a large recording is written by
+    many tasks and its files, in name order, hold its records in order.
+    """
     (
-        lines.repartition("label", "trace_num")
+        lines.repartitionByRange("label", order[0])
         .sortWithinPartitions("label", *order)
         .select("label", "value")
         .write.mode("overwrite").partitionBy("label").text(path)
@@ -154,16 +158,9 @@ def status_headers(manifest: DataFrame) -> DataFrame:
 
 
 def write_status(status: DataFrame, path: str, manifest: DataFrame) -> None:
-    """Write label files, one per recording, each with the header of its variant.
-
-    The format wants one file with one header; rows are short and stream
-    through the task of their recording in sorted order.
-    """
+    """Write label files, with the header of the recording's variant before its first row."""
     lines = format_status(status, manifest).unionByName(status_headers(manifest))
-    (
-        lines.repartition("label").sortWithinPartitions("label", "trace_num")
-        .select("label", "value").write.mode("overwrite").partitionBy("label").text(path)
-    )
+    _write_lines(lines, path, ["trace_num"])
 
 
 def init_status(path: str, manifest: DataFrame) -> None:
@@ -235,11 +232,7 @@ def format_dwell_times(dwell: DataFrame, block: int = 65_536) -> DataFrame:
 
 def write_dwell_times(dwell: DataFrame, path: str, manifest: DataFrame) -> None:
     """One sorted line per recording; very large recordings continue on further lines."""
-    lines = _with_label(format_dwell_times(dwell), manifest)
-    (
-        lines.repartition("label").sortWithinPartitions("label", "part")
-        .select("label", "value").write.mode("overwrite").partitionBy("label").text(path)
-    )
+    _write_lines(_with_label(format_dwell_times(dwell), manifest), path, ["part"])
 
 
 # --- detections -----------------------------------------------------------
