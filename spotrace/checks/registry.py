@@ -341,14 +341,14 @@ def resume_panel(spark, sf):
 
 
 @query(
-    """WITH acts AS (SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST((user_id - 1) // 12 AS INTEGER) AS panel,
-      event_id AS seq FROM events WHERE event_type = 'view' AND user_id > 0),
+    """WITH acts AS (SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST(floor((user_id - 1) / 12.0) AS INTEGER) AS panel,
+      event_id AS seq FROM events WHERE event_type = 'view'),
     people AS (SELECT DISTINCT CAST(user_id % 2 AS INTEGER) AS datum, CAST(user_id AS INTEGER) AS trace_num FROM events)
     SELECT a.datum, trace_num, count(*) AS n_actions, max(seq) AS last_seq FROM acts a JOIN people p
     ON p.datum = a.datum AND CAST(floor((trace_num - 1) / 12.0) AS INTEGER) = a.panel GROUP BY ALL"""
 )
 def expand_page_actions(spark, sf):
-    base = standins.event_actions(spark, sf).filter("action = 'n' AND trace_num > 0")
+    base = standins.event_actions(spark, sf).filter("action = 'n'")
     panel = review.panel_columns(F.col("trace_num"))["panel"].alias("panel")
     people = standins.table(spark, sf, "events").select(
         (F.col("user_id") % 2).cast("int").alias("datum"), F.col("user_id").cast("int").alias("trace_num")
@@ -393,10 +393,10 @@ _PLACE = """CAST(floor(({n} - 1) / {k}.0) AS INTEGER) AS panel,
 
 @query(
     _with(oracle.LINE)
-    + f"SELECT DISTINCT datum, trace_num, {_PLACE.format(n='trace_num', k=12, c=4)} FROM li WHERE trace_num > 0"
+    + f"SELECT DISTINCT datum, trace_num, {_PLACE.format(n='trace_num', k=12, c=4)} FROM li"
 )
 def panel_of(spark, sf):
-    listed = standins.trace_list(standins.line_traces(spark, sf)).filter("trace_num > 0")
+    listed = standins.trace_list(standins.line_traces(spark, sf))
     return review.panel_of(listed.drop("n"))
 
 
