@@ -188,7 +188,9 @@ def _key(c: Column) -> Column:
 def _with_gain(rows: DataFrame) -> DataFrame:
     """Cost reduction of splitting (left, right] at the candidate, from centred prefix sums."""
     frame, s = F.col("c.frame"), F.col("c.s")
-    a, b = frame - F.col("left.frame"), F.col("right.frame") - frame
+    # As doubles: the product of two lengths exceeds an int in long traces.
+    a = (frame - F.col("left.frame")).cast("double")
+    b = (F.col("right.frame") - frame).cast("double")
     gap = (s - F.col("left.s")) / a - (F.col("right.s") - s) / b
     return rows.withColumn("gain", (a * b / (a + b)) * gap * gap / F.col("var_samp"))
 
