@@ -260,38 +260,59 @@ def column_profile(image: DataFrame, boxes: DataFrame) -> DataFrame:
 def prominent_peaks(y: np.ndarray, x: np.ndarray, v: np.ndarray, prominence: np.ndarray) -> np.ndarray:
     """Indices of maxima that stand ``prominence`` above the saddle to anything higher.
 
-    Pixels are raised from the brightest down; when two hills meet, the lower
-    summit is settled: it is a peak if the meeting level lies at least
-    ``prominence`` below it.  Equal pixels rank by position.
+    Every pixel climbs to its highest neighbour until it reaches a summit; two
+    hills meet at the brightest pair of touching pixels.  Meetings are taken
+    from the brightest down and settle the lower summit: it is a peak if they
+    lie at least ``prominence`` below it.  Equal pixels rank by position.
     """
     order = np.lexsort((x, y, -v))
-    place = np.full((int(y.max()) + 3, int(x.max()) + 3), -1, dtype=np.int64)
-    summit = np.full(len(v), -1, dtype=np.int64)  # parent; a root is its own summit
-    peaks = []
-
-    def root(i: int) -> int:
-        while summit[i] != i:
-            summit[i] = summit[summit[i]]
-            i = summit[i]
-        return i
-
-    rank = np.empty(len(v), dtype=np.int64)
-    rank[order] = np.arange(len(v))
-    for i in order:
-        r, c = y[i] + 1, x[i] + 1
-        hills = {root(j) for j in place[r - 1:r + 2, c - 1:c + 2].ravel() if j >= 0}
-        place[r, c] = i
-        if not hills:
-            summit[i] = i
+    count = len(order)
+    level = np.full((int(y.max()) + 3, int(x.max()) + 3), count)
+    level[y[order] + 1, x[order] + 1] = np.arange(count)  # 0 is the brightest
+
+    rows, cols = slice(1, -1), slice(1, -1)
+    highest = level[rows, cols].copy()
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            near = np.roll(level, (dy, dx), (0, 1))[rows, cols]
+            np.minimum(highest, near, out=highest)
+    hill = highest[y[order], x[order]]
+    while not np.array_equal(hill, up := hill[hill]):
+        hill = up
+
+    pairs, meetings = [], []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        here, there = level[rows, cols], np.roll(level, (-dy, -dx), (0, 1))[rows, cols]
+        both = (here < count) & (there < count)
+        one, two = here[both], there[both]
+        differ = hill[one] != hill[two]
+        one, two = one[differ], two[differ]
+        low, high = np.maximum(hill[one], hill[two]), np.minimum(hill[one], hill[two])
+        pairs.append(low.astype(np.int64) * count + high)
+        meetings.append(np.maximum(one, two))
+    pair, meeting = np.concatenate(pairs), np.concatenate(meetings)
+    by_pair = np.lexsort((meeting, pair))
+    first = by_pair[np.r_[True, np.diff(pair[by_pair]) > 0]] if len(pair) else by_pair
+    first = first[np.argsort(meeting[first], kind="stable")]
+
+    summit = {int(h): int(h) for h in np.unique(hill)}
+
+    def root(h: int) -> int:
+        while summit[h] != h:
+            summit[h] = summit[summit[h]]
+            h = summit[h]
+        return h
+
+    height, needed, peaks = v[order], prominence[order], []
+    for low, high, at in zip((pair[first] // count).tolist(), (pair[first] % count).tolist(), meeting[first].tolist()):
+        a, b = sorted((root(low), root(high)))
+        if a == b:
             continue
-        highest = min(hills, key=lambda j: rank[j])
-        summit[i] = highest
-        for j in hills - {highest}:
-            if v[j] - v[i] >= prominence[j]:
-                peaks.append(j)
-            summit[j] = highest
-    peaks.extend(i for i in np.flatnonzero(summit == np.arange(len(v))))
-    return np.asarray(sorted(set(peaks)), dtype=np.int64)
+        if height[b] - height[at] >= needed[b]:
+            peaks.append(b)
+        summit[b] = a
+    peaks.extend(h for h, top in summit.items() if h == top)
+    return np.sort(order[np.asarray(peaks, dtype=np.int64)])
 
 
 def find_maxima(

@@ -166,7 +166,7 @@ def r_squared(curve: DataFrame) -> DataFrame:
 def fit_summary(dwell: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Label, n, shape, scale, location, n_min and R2 of every recording with dwell times."""
     counts = materialize(dwell_counts(dwell), "dwell")
-    fit = gamma_fit(counts)
+    fit = materialize(gamma_fit(counts), "fit")
     moments = dwell_moments(counts)
     quality = r_squared(fitted_curve(counts, fit))
     joined = moments.join(fit.drop("n"), "datum", "left").join(quality, "datum", "left")
