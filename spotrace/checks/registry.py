@@ -289,6 +289,42 @@ def dwell_auto(spark, sf):
     return events.dwell_times(_auto(spark, sf), standins.line_manifest(spark, sf))
 
 
+@query(
+    _with(oracle.SEARCH_FULL)
+    + """SELECT datum, region, frame FROM r_bkps WHERE grad > 0 AND frame < n"""
+)
+def region_changepoints(spark, sf):
+    return cp.region_changepoints(standins.walk_regions(spark, sf))
+
+
+@query(
+    _with(_SEARCH, oracle.LINE_MANIFEST)
+    + "SELECT b.datum, b.trace_num, b.frame, m.start_frame, CAST(m.time_interval_s AS DOUBLE) AS time_interval_s "
+    "FROM p_bkps b JOIN manifest m ON m.datum = b.datum"
+)
+def attach_start(spark, sf):
+    found = cp.accepted_breakpoints(standins.walk_traces(spark, sf)).select(*TRACE_KEYS, "frame")
+    return cp.attach_start(found, standins.line_manifest(spark, sf))
+
+
+@query(_with(_SEARCH) + "SELECT datum, trace_num, frame FROM p_bkps WHERE grad > 0")
+def filter_rising(spark, sf):
+    found = cp.accepted_breakpoints(standins.walk_traces(spark, sf))
+    return cp.filter_rising(found).select(*TRACE_KEYS, "frame")
+
+
+@query(_with(_SEARCH) + "SELECT datum, trace_num, frame FROM p_bkps WHERE frame > 100 AND frame < n")
+def filter_after_start(spark, sf):
+    found = cp.accepted_breakpoints(standins.walk_traces(spark, sf))
+    return cp.filter_after_start(found, 100).select(*TRACE_KEYS, "frame")
+
+
+@query(_with(_SEARCH) + "SELECT datum, trace_num, frame FROM p_bkps WHERE trend_grad >= 0")
+def filter_trend_nonfalling(spark, sf):
+    found = cp.accepted_breakpoints(standins.walk_traces(spark, sf))
+    return cp.filter_trend_nonfalling(found).select(*TRACE_KEYS, "frame")
+
+
 # --- labels and review ----------------------------------------------------
 
 
@@ -373,6 +409,61 @@ def click_arity(spark, sf):
     return events.click_arity(clicks, standins.event_manifest(spark, sf))
 
 
+@query(
+    _with(oracle.ACTIONS)
+    + "SELECT datum, trace_num, true AS is_reviewed, is_fusion, is_excluded FROM status"
+)
+def mark_reviewed(spark, sf):
+    return events.mark_reviewed(_folded(spark, sf)).select(*TRACE_KEYS, "is_reviewed", "is_fusion", "is_excluded")
+
+
+def _user_traces(spark, sf):
+    return standins.table(spark, sf, "events").select(
+        (F.col("user_id") % 2).cast("int").alias("datum"), F.col("user_id").cast("int").alias("trace_num"),
+        F.col("value"),
+    ).groupBy(*TRACE_KEYS).agg(F.max("value").alias("top"))
+
+
+@query(
+    _with(oracle.ACTIONS)
+    + """SELECT datum, trace_num, top, is_fusion FROM status JOIN (
+      SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST(user_id AS INTEGER) AS trace_num, max(value) AS top
+      FROM events GROUP BY ALL) t USING (datum, trace_num)"""
+)
+def attach_labels(spark, sf):
+    return events.attach_labels(_user_traces(spark, sf), _folded(spark, sf)).select(*TRACE_KEYS, "top", "is_fusion")
+
+
+@query(
+    _with(oracle.ACTIONS, oracle.LINE)
+    + """SELECT datum, trace_num, is_fusion FROM status s WHERE NOT EXISTS (
+      SELECT 1 FROM li WHERE li.datum % 2 = s.datum AND li.trace_num = s.trace_num)"""
+)
+def unknown_labels(spark, sf):
+    known = standins.trace_list(standins.line_traces(spark, sf)).withColumn("datum", F.col("datum") % 2)
+    return events.unknown_labels(known, _folded(spark, sf)).select(*TRACE_KEYS, "is_fusion")
+
+
+@query(
+    _with(oracle.ACTIONS)
+    + """SELECT datum, trace_num, concat_ws(',', trace_num, CAST(is_reviewed AS INTEGER), CAST(is_fusion AS INTEGER))
+    || CASE WHEN datum = 0 THEN ',' || binding ELSE '' END || ',' ||
+    concat_ws(',', fusion_start, fusion_end, CAST(is_excluded AS INTEGER)) AS value FROM status WHERE trace_num <> 0"""
+)
+def status_lines(spark, sf):
+    lines = text.format_status(_folded(spark, sf), standins.event_manifest(spark, sf))
+    return lines.select(*TRACE_KEYS, "value")
+
+
+@query(
+    _with(oracle.ACTIONS)
+    + """SELECT datum, trace_num, seq, trace_num > 12 AND trace_num <= 24 AS is_on_page FROM actions"""
+)
+def on_page(spark, sf):
+    typed = standins.event_actions(spark, sf)
+    return typed.select(*TRACE_KEYS, "seq", review.on_page(F.col("trace_num"), 1).alias("is_on_page"))
+
+
 _DWELL_MANUAL = """dwell AS (SELECT datum, trace_num, CAST((fusion_start - CASE WHEN datum = 0 THEN binding ELSE 100 END)
   * 0.5 AS DOUBLE) AS dwell_s FROM status WHERE is_fusion AND NOT is_excluded)"""
 
@@ -806,6 +897,29 @@ def detections_roundtrip(spark, sf):
     return text.read_detections(spark, path).select(*events.STATUS_COLUMNS)
 
 
+@query(
+    _with(oracle.EMB)
+    + """SELECT datum, trace_num, '1:' || string_agg(CAST(CAST(round(raw * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY frame) AS value
+    FROM emb GROUP BY datum, trace_num"""
+)
+def training_lines(spark, sf):
+    samples = standins.embedding_traces(spark, sf).withColumn("raw", F.round(F.col("raw") * 1000).cast("long"))
+    status = samples.select(*TRACE_KEYS).distinct().select(
+        *TRACE_KEYS, F.lit(True).alias("is_reviewed"), F.lit(True).alias("is_fusion"), F.lit(False).alias("is_excluded")
+    )
+    return text.training_lines(samples, status)
+
+
+@query(_GROWN + " SELECT datum, box_num, CAST(width * width AS INTEGER) AS area, x0 AS bx, y0 AS by FROM grown")
+def measurements_roundtrip(spark, sf):
+    path = scratch_path(spark, "particles")
+    tables.write_measurements(images.particle_stats(_boxes(spark, sf)), path)
+    read = spark.read.option("header", True).schema(
+        "box_num int, area int, bx int, by int, width int, height int, datum int"
+    ).csv(path)
+    return read.select("datum", "box_num", "area", "bx", "by")
+
+
 # --- whole runs -----------------------------------------------------------
 
 _AUTO_DWELL = """autodwell AS (SELECT datum, CAST((fusion_start - CASE WHEN start_frame = 0 THEN binding ELSE start_frame END)
