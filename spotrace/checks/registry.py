@@ -80,10 +80,10 @@ def normalize_zscore_compat(spark, sf):
 @query(
     _with(oracle.LINE)
     + f"""SELECT datum, trace_num, CAST(count(*) AS INTEGER) AS n, min(raw) AS lo, max(raw) AS hi,
-    {rnd('avg(raw)', 4, 'mean')}, {rnd('stddev_pop(raw)', 4, 'std_pop')} FROM li GROUP BY datum, trace_num"""
+    {rnd('avg(raw)', 6, 'mean')}, {rnd('stddev_pop(raw)', 6, 'std_pop')} FROM li GROUP BY datum, trace_num"""
 )
 def trace_stats(spark, sf):
-    return rounded(series.trace_stats(standins.line_traces(spark, sf)), 4, "mean", "std_pop")
+    return rounded(series.trace_stats(standins.line_traces(spark, sf)), 6, "mean", "std_pop")
 
 
 _GRAD = """coalesce((lead(raw) OVER w - lag(raw) OVER w) / 2, lead(raw) OVER w - raw, raw - lag(raw) OVER w)"""
@@ -164,9 +164,10 @@ def frame_axis(spark, sf):
 _SEARCH = oracle.WALK + "," + oracle.search("walk", "trace_num", "p")
 
 
-@query(_with(oracle.WALK) + f"SELECT datum, trace_num, frame, {rnd('raw', 4, 'raw')} FROM walk")
+@query(_with(oracle.WALK) + "SELECT datum, trace_num, frame, raw + 0.0 AS raw FROM walk")
 def walk_traces(spark, sf):
-    return rounded(standins.walk_traces(spark, sf), 4, "raw")
+    # Computed in whole cents: equal to the last bit, so no rounding.
+    return standins.walk_traces(spark, sf).withColumn("raw", F.col("raw") + F.lit(0.0))
 
 
 @query(_with(_SEARCH) + f"SELECT datum, trace_num, frame, {rnd('score', 5, 'score')} FROM p_score")
