@@ -80,10 +80,16 @@ def normalize_zscore_compat(spark, sf):
 @query(
     _with(oracle.LINE)
     + f"""SELECT datum, trace_num, CAST(count(*) AS INTEGER) AS n, min(raw) AS lo, max(raw) AS hi,
-    {rnd('avg(raw)', 6, 'mean')}, {rnd('stddev_pop(raw)', 6, 'std_pop')} FROM li GROUP BY datum, trace_num"""
+    {rnd('avg(raw) / (max(raw) - min(raw))', 9, 'mean')}, {rnd('stddev_pop(raw) / (max(raw) - min(raw))', 9, 'std_pop')}
+    FROM li GROUP BY datum, trace_num"""
 )
 def trace_stats(spark, sf):
-    return rounded(series.trace_stats(standins.line_traces(spark, sf)), 6, "mean", "std_pop")
+    # Mean and deviation in units of the range: means of whole cents would sit on rounding ties.
+    span = F.col("hi") - F.col("lo")
+    found = series.trace_stats(standins.line_traces(spark, sf))
+    return rounded(
+        found.withColumns({"mean": F.col("mean") / span, "std_pop": F.col("std_pop") / span}), 9, "mean", "std_pop"
+    )
 
 
 _GRAD = """coalesce((lead(raw) OVER w - lag(raw) OVER w) / 2, lead(raw) OVER w - raw, raw - lag(raw) OVER w)"""
