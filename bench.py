@@ -22,6 +22,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -44,10 +45,9 @@ def main() -> None:
         times[name] = round(time.time() - start, 3)
 
     # Input tables are written once, as recordings would be, and timed apart.
-    timed("prepare_line_traces", lambda: standins.line_traces(spark, folder))
-    timed("prepare_walk_traces", lambda: standins.walk_traces(spark, folder))
-    timed("prepare_walk_regions", lambda: standins.walk_regions(spark, folder))
-    timed("prepare_event_pixels", lambda: standins.event_pixels(spark, folder))
+    for table in ("line_traces", "walk_traces", "walk_regions", "line_manifest", "event_pixels",
+                  "event_manifest", "order_manifest", "order_status"):
+        timed(f"prepare_{table}", lambda: getattr(standins, table)(spark, folder))
     for name in HEADLINE:
         timed(name, lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
     print(json.dumps({

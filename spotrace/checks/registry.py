@@ -791,7 +791,7 @@ _EXTRACT = "WITH RECURSIVE " + ",".join(
     GROUP BY p.datum, k.trace_num, p.frame, k.width"""
 )
 def extract_traces(spark, sf):
-    settings = standins._event_types(spark, sf).select(
+    settings = standins.event_types(spark, sf).select(
         "datum", F.lit(3).alias("rolling_radius"), F.lit(PROMINENCE).alias("peak_prominence"),
         F.lit(TOLERANCE).alias("profile_tolerance"),
     )
@@ -991,7 +991,7 @@ def stream_fold_actions(spark, sf):
 )
 def stream_region_intensity(spark, sf):
     stored = _pixels(spark, sf)
-    manifest = standins._event_types(spark, sf).select("datum", F.lit(1.0).alias("time_interval_s"))
+    manifest = standins.event_types(spark, sf).select("datum", F.lit(1.0).alias("time_interval_s"))
     arriving = spark.readStream.schema(stored.schema).parquet(standins.folder(spark, sf, "event_pixels"))
     stream = streams.region_intensity_stream(arriving, manifest, SIDE).drop("acquired_at")
     return rounded(_run_stream(spark, stream, "update", ["datum", "region", "frame"]), 2, "raw")
@@ -1000,7 +1000,7 @@ def stream_region_intensity(spark, sf):
 @query(_BOX_SUM)
 def stream_box_intensity(spark, sf):
     stored = _pixels(spark, sf)
-    manifest = standins._event_types(spark, sf).select("datum", F.lit(1.0).alias("time_interval_s"))
+    manifest = standins.event_types(spark, sf).select("datum", F.lit(1.0).alias("time_interval_s"))
     arriving = spark.readStream.schema(stored.schema).parquet(standins.folder(spark, sf, "event_pixels"))
     stream = streams.box_intensity_stream(arriving, standins.event_boxes(spark, sf), manifest).drop("acquired_at")
     return rounded(_run_stream(spark, stream, "update", ["datum", "trace_num", "frame"]), 3, "raw")

@@ -99,6 +99,10 @@ def build_walk_regions(walk: DataFrame) -> DataFrame:
 
 
 def line_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "line_manifest", lambda: build_line_manifest(spark, sf_dir))
+
+
+def build_line_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per recording found in the line items; odd recordings start at frame 100."""
     suppliers = table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 4).cast("int").alias("datum")
@@ -111,7 +115,11 @@ def line_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "event_types", lambda: build_event_types(spark, sf_dir))
+
+
+def build_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of each event type in alphabetical order (a handful of rows)."""
     kinds = table(spark, sf_dir, "events").select("event_type").distinct()
     return kinds.select(
@@ -122,7 +130,7 @@ def _event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as photons: type = recording, day = frame, user and hour = position."""
-    kinds = _event_types(spark, sf_dir)
+    kinds = event_types(spark, sf_dir)
     sums = (
         table(spark, sf_dir, "events")
         .groupBy(
@@ -164,7 +172,7 @@ def event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
             for num, cx, cy, w in BOX_LIST
         ]
     )
-    return _event_types(spark, sf_dir).select("datum", F.explode(boxes).alias("b")).select(
+    return event_types(spark, sf_dir).select("datum", F.explode(boxes).alias("b")).select(
         "datum", F.col("b.trace_num").alias("box_num"), "b.*"
     )
 
@@ -192,6 +200,10 @@ def actions_of(events: DataFrame) -> DataFrame:
 
 
 def event_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "event_manifest", lambda: build_event_manifest(spark, sf_dir))
+
+
+def build_event_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select((F.col("user_id") % 2).cast("int").alias("datum"))
     return users.distinct().select(
         "datum",
@@ -202,6 +214,10 @@ def event_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "order_manifest", lambda: build_order_manifest(spark, sf_dir))
+
+
+def build_order_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market segments as recordings, numbered in alphabetical order."""
     segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label")).distinct()
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label"))
@@ -212,6 +228,10 @@ def order_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "order_status", lambda: build_order_status(spark, sf_dir))
+
+
+def build_order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as particles; fusion lies as many frames in as days between two orders."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -168,7 +168,11 @@ def _outranks(a: Column, b: Column) -> Column:
     return (a["d2"] > b["d2"]) | ((a["d2"] == b["d2"]) & (a["frame"] > b["frame"]))
 
 
-def _lookup(side: str, array: Column, c: Column) -> Column:
+def _place(c: Column) -> Column:
+    return F.struct(c["frame"].alias("frame"), c["s"].alias("s"))
+
+
+def _lookup(side: str, array: str, c: Column) -> Column:
     """Position of the nearest peak in ``array`` that is tried before ``c``."""
     if side == "left":
         found = F.filter(array, lambda o: (o["frame"] < c["frame"]) & _outranks(o, c))
@@ -177,17 +181,29 @@ def _lookup(side: str, array: Column, c: Column) -> Column:
     return F.array_min(F.transform(found, _place))
 
 
-def _place(c: Column) -> Column:
-    return F.struct(c["frame"].alias("frame"), c["s"].alias("s"))
-
+def _located(blocks: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """One row per peak with the nearest higher peaks of its chunk as ``left`` and ``right``.
 
-def _key(c: Column) -> Column:
-    return F.struct(c["d2"].alias("d2"), c["frame"].alias("frame"))
+    A side without any is the end of the trace, or NULL when the trace goes on
+    in another chunk.
+    """
+    chunk, n, c = F.col("chunk"), F.col("n"), F.col("c")
+    zero = F.lit(0.0).alias("s")
+    origin = F.when(chunk == 0, F.struct(F.lit(0).alias("frame"), zero))
+    # Prefix sums are centred on the trace mean, so the last one is zero.
+    end = F.when(chunk == chunk_of("n", bits), F.struct(n.alias("frame"), zero))
+    return blocks.select(
+        *keys, "chunk", "n", "var_samp", "peaks", F.explode("peaks").alias("c")
+    ).select(
+        *keys, "chunk", "n", "var_samp", "c.*",
+        F.coalesce(_lookup("left", "peaks", c), origin).alias("left"),
+        F.coalesce(_lookup("right", "peaks", c), end).alias("right"),
+    )
 
 
 def _with_gain(rows: DataFrame) -> DataFrame:
     """Cost reduction of splitting (left, right] at the candidate, from centred prefix sums."""
-    frame, s = F.col("c.frame"), F.col("c.s")
+    frame, s = F.col("frame"), F.col("s")
     # As doubles: the product of two lengths exceeds an int in long traces.
     a = (frame - F.col("left.frame")).cast("double")
     b = (F.col("right.frame") - frame).cast("double")
@@ -198,67 +214,60 @@ def _with_gain(rows: DataFrame) -> DataFrame:
 def _cuts(rows: DataFrame, keys: Sequence[str], penalty: float) -> DataFrame:
     """Highest candidate per trace that gains too little: everything at or below is rejected."""
     return rows.filter(F.col("gain") <= penalty).groupBy(*keys).agg(
-        F.max(_key(F.col("c"))).alias("cut")
+        F.max(F.struct("d2", "frame")).alias("cut")
     )
 
 
 def _above_cut(rows: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(cuts, list(keys), "left").filter(
-        F.col("cut").isNull() | (_key(F.col("c")) > F.col("cut"))
+        F.col("cut").isNull() | (F.struct("d2", "frame") > F.col("cut"))
     ).drop("cut")
 
 
 def _accept(blocks: DataFrame, keys: Sequence[str], penalty: float, bits: int) -> DataFrame:
     """Candidates above the highest failing one of their trace.
 
-    ``blocks`` is a stored table, so its few columns may be read several times.
-    Neighbours are found inside the chunk first; candidates that stay open,
-    which only traces of several chunks have, are finished by ``_close``.
+    The located peaks, a small part of the samples, are stored once.  Those that
+    stay open, which only traces of several chunks have, are finished by
+    ``_close`` unless a failing candidate above them has settled the matter.
     """
-    chunk, n, c = F.col("chunk"), F.col("n"), F.col("c")
-    zero = F.lit(0.0).alias("s")
-    origin = F.when(chunk == 0, F.struct(F.lit(0).alias("frame"), zero))
-    # Prefix sums are centred on the trace mean, so the last one is zero.
-    end = F.when(chunk == chunk_of("n", bits), F.struct(n.alias("frame"), zero))
-    rows = blocks.select(
-        *keys, "chunk", "n", "var_samp", "peaks", F.explode("peaks").alias("c")
-    ).select(
-        *keys, "chunk", "n", "var_samp", "c",
-        F.coalesce(_lookup("left", F.col("peaks"), c), origin).alias("left"),
-        F.coalesce(_lookup("right", F.col("peaks"), c), end).alias("right"),
-    )
-    longest = blocks.agg(F.max("n")).first()[0] or 0
+    located = materialize(_located(blocks, keys, bits), "peaks")
+    longest = located.agg(F.max("n")).first()[0] or 0
     if longest > (1 << bits):
         is_open = F.col("left").isNull() | F.col("right").isNull()
-        done = _with_gain(rows.filter(~is_open))
-        left_over = _above_cut(rows.filter(is_open), _cuts(done, keys, penalty), keys)
-        scored = done.unionByName(_with_gain(_close(left_over, blocks, keys)))
+        done = _with_gain(located.filter(~is_open))
+        left_over = _above_cut(located.filter(is_open), _cuts(done, keys, penalty), keys)
+        long_traces = located.filter(F.col("n") > (1 << bits))
+        closed = materialize(_with_gain(_close(left_over, long_traces, keys)), "closed")
+        scored = done.unionByName(closed)
     else:
-        scored = _with_gain(rows)
+        scored = _with_gain(located)
     return _above_cut(scored, _cuts(scored, keys, penalty), keys).select(
-        *keys, F.col("c.frame").alias("frame"), F.col("c.rising").alias("rising"),
-        F.col("c.trend_ok").alias("trend_ok"), "n",
+        *keys, "frame", "rising", "trend_ok", "n"
     )
 
 
-def _close(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _close(rows: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Find the missing neighbours of candidates that stand out in their own chunk.
 
     Each one looks up, in the per-trace ladder of chunk maxima, the nearest chunk
     with something higher, and then the nearest higher candidate in that chunk.
     A ladder has one entry per chunk and a chunk a bounded number of peaks.
     """
-    c, chunk = F.col("c"), F.col("chunk")
-    top = F.array_max(F.transform("peaks", _key)).alias("top")
-    ladder = blocks.select(*keys, F.struct("chunk", top).alias("rung")).groupBy(*keys).agg(
-        F.collect_list("rung").alias("ladder")
+    chunk, mine = F.col("chunk"), F.struct("d2", "frame")
+    chunks = peaks.groupBy(*keys, "chunk").agg(
+        F.max(mine).alias("top"),
+        F.collect_list(F.struct("frame", "d2", "s")).alias("there"),
+    )
+    ladder = peaks.groupBy(*keys, "chunk").agg(F.max(mine).alias("top")).groupBy(*keys).agg(
+        F.collect_list(F.struct("chunk", "top")).alias("ladder")
     )
     rungs = {
         "left": F.array_max(F.transform(
-            F.filter("ladder", lambda r: (r["chunk"] < chunk) & (r["top"] > _key(c))),
+            F.filter("ladder", lambda r: (r["chunk"] < chunk) & (r["top"] > mine)),
             lambda r: r["chunk"])),
         "right": F.array_min(F.transform(
-            F.filter("ladder", lambda r: (r["chunk"] > chunk) & (r["top"] > _key(c))),
+            F.filter("ladder", lambda r: (r["chunk"] > chunk) & (r["top"] > mine)),
             lambda r: r["chunk"])),
     }
     beyond = {"left": F.lit(0), "right": F.col("n")}
@@ -266,13 +275,12 @@ def _close(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame
         *rows.columns, *[F.when(F.col(side).isNull(), rung).alias(f"{side}_chunk")
                          for side, rung in rungs.items()],
     )
+    me = F.struct("frame", "d2")
     for side in ("left", "right"):
-        there = blocks.select(
-            *keys, F.col("chunk").alias(f"{side}_chunk"), F.col("peaks").alias("there")
-        )
+        there = chunks.select(*keys, F.col("chunk").alias(f"{side}_chunk"), "there")
         outside = F.struct(beyond[side].alias("frame"), F.lit(0.0).alias("s"))
         found = found.join(there, [*keys, f"{side}_chunk"], "left").withColumn(
-            side, F.coalesce(F.col(side), _lookup(side, F.col("there"), c), outside)
+            side, F.coalesce(F.col(side), _lookup(side, "there", me), outside)
         ).drop("there")
     return found.select(*rows.columns)
 
@@ -290,7 +298,7 @@ def accepted_breakpoints(
     A breakpoint is the last frame of its left segment.  ``n`` is the length of
     the trace; ``trend_ok`` is NULL where the trend gradient is undefined.
     """
-    blocks = materialize(_peak_blocks(samples, keys, width, period, chunk_bits), "peaks")
+    blocks = _peak_blocks(samples, keys, width, period, chunk_bits)
     return _accept(blocks, keys, penalty, chunk_bits)
 
 
