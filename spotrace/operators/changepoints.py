@@ -256,8 +256,7 @@ def _close(rows: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     chunk, mine = F.col("chunk"), F.struct("d2", "frame")
     chunks = peaks.groupBy(*keys, "chunk").agg(
-        F.max(mine).alias("top"),
-        F.collect_list(F.struct("frame", "d2", "s")).alias("there"),
+        F.collect_list(F.struct("frame", "d2", "s")).alias("there")
     )
     ladder = peaks.groupBy(*keys, "chunk").agg(F.max(mine).alias("top")).groupBy(*keys).agg(
         F.collect_list(F.struct("chunk", "top")).alias("ladder")

@@ -114,7 +114,7 @@ def decompose(
     The trend is undefined near both ends.  Phase means of the detrended series
     are centred on their own mean; a trace shorter than two periods gets none.
     """
-    trended = trend(samples, value, period, keys, chunk_bits)
+    trended = _trended(samples, value, period, keys, chunk_bits)
     phase = ((F.col("frame") - 1) % period).alias("phase")
     by_phase = (
         trended.groupBy(*keys, phase)
@@ -135,7 +135,8 @@ def decompose(
     ).drop("last")
     seasonal = F.try_element_at("phases", (F.col("frame") - 1) % period) - F.col("centre")
     return (
-        attach_stats(with_chunk(trended, chunk_bits), per_chunk, keys)
+        # The rows are still partitioned by (trace, chunk): no second exchange.
+        attach_stats(trended, per_chunk, keys)
         .withColumn("seasonal", seasonal)
         .withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
         .select(*samples.columns, "trend", "seasonal", "residual")
@@ -150,16 +151,22 @@ def trend(
     chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Add ``trend``.  A trace of fewer than two periods has no trend at all."""
+    return _trended(samples, value, period, keys, chunk_bits).select(*samples.columns, "trend")
+
+
+def _trended(
+    samples: DataFrame, value: str, period: int, keys: Sequence[str], chunk_bits: int
+) -> DataFrame:
+    """Samples with ``chunk`` and ``trend``."""
     w = chunk_window(keys)
-    spread = with_halo(samples, 2 * period, chunk_bits)
     # A halo of two periods is enough to tell a trace shorter than that.
-    reach = Window.partitionBy(*keys, "chunk")
+    spread = with_halo(samples, 2 * period, chunk_bits)
+    reach = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     long_enough = F.count(value).over(reach) >= 2 * period
     return (
-        spread.withColumn("trend", trend_of(value, w, period))
-        .withColumn("trend", F.when(long_enough, F.col("trend")))
+        spread.withColumn("trend", F.when(long_enough, trend_of(value, w, period)))
         .filter("is_home")
-        .select(*samples.columns, "trend")
+        .select(*samples.columns, "chunk", "trend")
     )
 
 
