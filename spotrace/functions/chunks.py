@@ -55,23 +55,37 @@ def series_stats(
         F.min(value).alias("c_lo"),
         F.max(value).alias("c_hi"),
     )
-    ordered = Window.partitionBy(*keys).orderBy("chunk")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole_trace(keys)
+    return trace_totals(
+        per_chunk, keys, F.min("c_lo").over(whole).alias("lo"), F.max("c_hi").over(whole).alias("hi")
+    )
+
+
+def whole_trace(keys: Sequence[str]) -> WindowSpec:
+    """All chunk rows of a trace, in order."""
+    return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+
+
+def trace_totals(per_chunk: DataFrame, keys: Sequence[str], *carried: Column | str) -> DataFrame:
+    """Trace statistics from chunk rows with ``c_n, c_sum, c_var``, keeping ``carried`` columns."""
+    whole = whole_trace(keys)
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
     totals = per_chunk.select(
-        *keys, "chunk", "c_n", "c_sum", "c_var",
+        *keys, "chunk", "c_n", "c_sum", "c_var", *carried,
         F.sum("c_n").over(whole).alias("n"),
         F.sum("c_sum").over(whole).alias("total"),
-        F.min("c_lo").over(whole).alias("lo"),
-        F.max("c_hi").over(whole).alias("hi"),
         F.coalesce(F.sum("c_n").over(earlier), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("c_sum").over(earlier), F.lit(0.0)).alias("sum_before"),
     ).withColumn("mean", F.col("total") / F.col("n"))
     off = F.col("c_sum") / F.col("c_n") - F.col("mean")
     spread = F.sum(F.col("c_n") * (F.col("c_var") + off * off)).over(whole)
+    fixed = {*keys, "chunk", "c_n", "c_sum", "c_var", "n", "total", "n_before", "sum_before", "mean"}
+    kept = [c for c in totals.columns if c not in fixed]
     return totals.withColumn("m2", spread).select(
-        *keys, "chunk",
-        F.col("n").cast("int").alias("n"), "mean", "lo", "hi",
+        *keys, "chunk", *kept,
+        F.col("n").cast("int").alias("n"), "mean",
         F.expr("try_divide(m2, n - 1)").alias("var_samp"),
         F.sqrt(F.col("m2") / F.col("n")).alias("std_pop"),
         (F.col("sum_before") - F.col("mean") * F.col("n_before")).alias("before"),

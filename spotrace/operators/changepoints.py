@@ -4,11 +4,11 @@ The squared-distance cost makes the score of a split at frame k the scaled
 squared difference of the two window means, so prefix sums replace the n x n
 cost matrix.  The search runs in three steps:
 
-1. samples are joined with their trace statistics on (trace, chunk), and one
-   exchange and one sort serve running sums, gradient, trend gradient, score
-   and the peak test;
+1. one scan, one exchange and one sort of the samples serve running sums,
+   gradient, trend gradient, score, peak test and the sums of each chunk;
 2. the few surviving rows (at most one peak per ``width / 2`` frames, plus the
-   border scores for the circular test) are gathered per (trace, chunk);
+   border scores for the circular test) are gathered per (trace, chunk), and
+   chunk rows get the statistics of their trace;
 3. acceptance.  Candidates are taken from the highest score down and the first
    one that gains too little ends the search.  A candidate splits the segment
    between the nearest *higher* candidates on both sides, so the gains follow
@@ -29,6 +29,8 @@ from spotrace.functions.chunks import (
     chunk_of,
     chunk_window,
     series_stats,
+    trace_totals,
+    whole_trace,
     with_halo,
 )
 from spotrace.model import (
@@ -50,29 +52,40 @@ def _peak_order(width: int) -> int:
 def _scored(
     samples: DataFrame, keys: Sequence[str], width: int, period: int, bits: int
 ) -> DataFrame:
-    """Samples with halo, centred prefix sums, sign flags and the unscaled score ``d2``."""
-    half = width // 2
-    halo = max(half + _peak_order(width), period // 2 + 1)
-    stats = series_stats(samples, keys, bits=bits)
+    """Samples with halo, running sums, sign flags and the unscaled score ``d2``.
+
+    Scores and signs do not depend on the level of the trace, so nothing about
+    the whole trace is needed yet; ``c_n, c_sum, c_var`` sum up the chunk.
+    """
+    half, order = width // 2, _peak_order(width)
+    halo = max(half + order + 1, period // 2 + 1)
     w = chunk_window(keys)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = with_halo(samples.select(*keys, "frame", "raw"), halo, bits)
-    centred = attach_stats(spread, stats, keys).withColumn("c", F.col("raw") - F.col("mean"))
-    summed = centred.select(
-        *keys, "chunk", "frame", "is_home", "n", "var_samp", "before",
-        F.sum("c").over(upto).alias("p"),
-        F.sum(F.when(F.col("is_home"), F.col("c")).otherwise(0.0)).over(upto).alias("home_p"),
+    chunk = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spread = with_halo(samples.select(*keys, "frame", "raw"), halo, bits).withColumn(
+        "own", F.when(F.col("is_home"), F.col("raw"))
+    )
+    summed = spread.select(
+        *keys, "chunk", "frame", "is_home",
+        F.sum("raw").over(upto).alias("p"),
+        F.sum("own").over(upto).alias("own_p"),
+        F.count("own").over(chunk).alias("c_n"),
+        F.sum("own").over(chunk).alias("c_sum"),
+        F.var_pop("own").over(chunk).alias("c_var"),
         # Sign of the gradient, one-sided at the ends.
-        (F.coalesce(F.lead("c", 1).over(w), F.col("c")) > F.coalesce(F.lag("c", 1).over(w), F.col("c")))
+        (F.coalesce(F.lead("raw", 1).over(w), F.col("raw")) > F.coalesce(F.lag("raw", 1).over(w), F.col("raw")))
         .alias("rising"),
-        (trend_gradient_of("c", w, period) >= 0).alias("trend_ok"),
+        (trend_gradient_of("raw", w, period) >= 0).alias("trend_ok"),
     )
     left = F.when(F.col("frame") == half, F.lit(0.0)).otherwise(F.lag("p", half).over(w))
-    step = (2 * F.col("p") - left - F.lead("p", half).over(w)) / half
-    inside = (F.col("frame") >= half) & (F.col("frame") < F.col("n") - half)
-    return summed.withColumns({"step": step, "s": F.col("before") + F.col("home_p")}).withColumn(
-        "d2", F.when(inside & (F.col("var_samp") > 0), F.col("step") * F.col("step"))
-    ).drop("step", "p", "home_p", "before")
+    return summed.withColumns(
+        {
+            "step": (2 * F.col("p") - left - F.lead("p", half).over(w)) / half,
+            # frame < n - half, and frame >= n - half - order
+            "inside": (F.col("frame") >= half) & F.lead("p", half + 1).over(w).isNotNull(),
+            "tail": F.lead("p", half + order + 1).over(w).isNull(),
+        }
+    ).withColumn("d2", F.when(F.col("inside"), F.col("step") * F.col("step"))).drop("step", "inside", "p")
 
 
 def changepoint_score(
@@ -83,7 +96,9 @@ def changepoint_score(
 ) -> DataFrame:
     """Cost reduction of splitting the window around each frame in two."""
     scored = _scored(samples, keys, width, SEASON_PERIOD, chunk_bits)
-    return scored.filter(F.col("is_home") & F.col("d2").isNotNull()).select(
+    wanted = scored.filter(F.col("is_home") & F.col("d2").isNotNull()).select(*keys, "chunk", "frame", "d2")
+    stats = series_stats(samples, keys, bits=chunk_bits).select(*keys, "chunk", "var_samp")
+    return attach_stats(wanted, stats, keys).filter("var_samp > 0").select(
         *keys, "frame", (F.col("d2") * (width // 2) / 2 / F.col("var_samp")).alias("score")
     )
 
@@ -91,61 +106,61 @@ def changepoint_score(
 def _peak_blocks(
     samples: DataFrame, keys: Sequence[str], width: int, period: int, bits: int
 ) -> DataFrame:
-    """Per (trace, chunk): the array of strict circular peaks, in frame order."""
+    """Per (trace, chunk): the array of strict circular peaks, in frame order.
+
+    The samples are read and shuffled once.  Chunk rows, gathered where they
+    are, carry peaks, border scores and sums; only they meet per trace.
+    """
     half, order = width // 2, _peak_order(width)
     w = chunk_window(keys)
-    scored = _scored(samples, keys, width, period, bits)
-    n, frame = F.col("n"), F.col("frame")
-    m = n - 2 * half
+    frame = F.col("frame")
     below = F.coalesce(F.max("d2").over(w.rowsBetween(-order, -1)), F.lit(-1.0))
     above = F.coalesce(F.max("d2").over(w.rowsBetween(1, order)), F.lit(-1.0))
-    flagged = (
-        scored.withColumn("top", (F.col("d2") > below) & (F.col("d2") > above))
-        .withColumn("head", frame < half + order)
-        .withColumn("tail", frame >= n - half - order)
-        .filter(F.col("is_home") & F.col("d2").isNotNull() & (m > order))
-        .filter("top or head or tail")
-    )
-    # The score array is circular for the peak test: border scores travel to the
-    # chunks at the other end of their trace.
-    none = F.array().cast("array<int>")
-    to_tail = F.sequence(chunk_of(n - half - order, bits), chunk_of(n - half - 1, bits))
-    to_head = F.sequence(
-        chunk_of(F.lit(half), bits), chunk_of(F.lit(half + order - 1), bits)
+    has_score = F.col("d2").isNotNull()
+    first_of_chunk = frame == F.shiftleft("chunk", bits) + 1
+    marked = (
+        _scored(samples, keys, width, period, bits)
+        .withColumn("top", has_score & (F.col("d2") > below) & (F.col("d2") > above))
+        .withColumn("border", has_score & (F.col("tail") | (frame < half + order)))
+        .filter(F.col("is_home") & (F.col("top") | F.col("border") | first_of_chunk))
     )
-    homes = F.array_distinct(
-        F.concat(
-            F.array(F.col("chunk")),
-            F.when(F.col("head"), to_tail).otherwise(none),
-            F.when(F.col("tail"), to_head).otherwise(none),
-        )
-    )
-    sent = flagged.withColumn("home", F.col("chunk")).withColumn("chunk", F.explode(homes))
-    is_peak = F.col("top") & (F.col("home") == F.col("chunk"))
-    blocks = sent.groupBy(*keys, "chunk").agg(
-        F.max("n").alias("n"),
-        F.max("var_samp").alias("var_samp"),
+    per_chunk = marked.groupBy(*keys, "chunk").agg(
+        *[F.max(c).alias(c) for c in ("c_n", "c_sum", "c_var")],
         F.array_sort(
-            F.collect_list(F.when(is_peak, F.struct("frame", "d2", "s", "rising", "trend_ok")))
+            F.collect_list(F.when(F.col("top"), F.struct("frame", "d2", "own_p", "rising", "trend_ok")))
         ).alias("peaks"),
-        F.collect_list(
-            F.when(F.col("head") | F.col("tail"), F.struct("frame", "d2"))
-        ).alias("border"),
+        F.collect_list(F.when(F.col("border"), F.struct("frame", "d2"))).alias("border"),
     )
+    # The score array is circular for the peak test: both ends of a trace, at
+    # most ``2 * order`` scores, are laid beside each of its chunks.
+    ends = F.flatten(
+        F.collect_list(F.when(F.size("border") > 0, F.col("border"))).over(whole_trace(keys))
+    )
+    blocks = trace_totals(per_chunk, keys, "peaks", ends.alias("ends"))
+    n = F.col("n")
+    m = n - 2 * half
 
     def beaten_around(c: Column) -> Column:
         near_end = (c["frame"] < half + order) | (c["frame"] >= n - half - order)
         return near_end & F.exists(
-            "border",
+            "ends",
             lambda b: (b["frame"] != c["frame"])
             & (m - F.abs(b["frame"] - c["frame"]) <= order)
             & (b["d2"] >= c["d2"]),
         )
 
-    return blocks.select(
+    def centred(c: Column) -> Column:
+        # Running sum of (raw - trace mean) up to this frame.
+        inside = c["own_p"] - F.col("mean") * (c["frame"] - F.shiftleft("chunk", bits))
+        return F.struct(
+            c["frame"].alias("frame"), c["d2"].alias("d2"), (F.col("before") + inside).alias("s"),
+            c["rising"].alias("rising"), c["trend_ok"].alias("trend_ok"),
+        )
+
+    return blocks.filter((m > order) & (F.col("var_samp") > 0)).select(
         *keys, "chunk", "n", "var_samp",
-        F.filter("peaks", lambda c: ~beaten_around(c)).alias("peaks"),
-    ).filter(F.size("peaks") > 0)
+        F.transform(F.filter("peaks", lambda c: ~beaten_around(c)), centred).alias("peaks"),
+    )
 
 
 def changepoint_peaks(
