@@ -249,8 +249,8 @@ class Codec:
         self.numbers = [str(i) for i in range(merges.width)]
         self.encode_texts = chunked_text.ChunkEncoder(self._encode_many, pattern)
 
-    def _encode_many(self, chunks: list[list[str]]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each list of pre-tokens."""
+    def _encode_many(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of pre-tokens, and where each list ends."""
         pieces = [m.encode("utf-8", "surrogatepass") for ms in chunks for m in ms]
         chunk_of = np.repeat(np.arange(len(chunks)), [len(ms) for ms in chunks])
         long = [i for i, p in enumerate(pieces) if len(p) > LONG]
@@ -259,14 +259,11 @@ class Codec:
             pieces[i] = b""
         ids, of = encode_short(pieces, self.merges)
         if apart:
-            lone = np.repeat(long, [len(apart[i]) for i in long])
             ids = np.concatenate([ids, *(np.array(apart[i], np.int64) for i in long)])
-            of = np.concatenate([of, lone])
+            of = np.concatenate([of, np.repeat(long, [len(apart[i]) for i in long])])
             order = np.argsort(of, kind="stable")
             ids, of = ids[order], of[order]
-        ends = np.cumsum(np.bincount(chunk_of[of], minlength=len(chunks))).tolist() if len(chunks) else []
-        held = ids.astype("<u4").tobytes()
-        return [held[4 * s:4 * e] for s, e in zip([0, *ends], ends)]
+        return ids, np.cumsum(np.bincount(chunk_of[of], minlength=len(chunks)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.merges.names.__getitem__, ids))
@@ -298,7 +295,7 @@ def _on_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: T.StructTy
         for batch in batches:
             for keys, texts in texts_of(batch):
                 encoded = codec.encode_texts(texts)
-                yield frame([(d, *row(codec, np.frombuffer(e, "<u4").tolist())) for d, e in zip(keys, encoded)], schema)
+                yield frame([(d, *row(codec, e.tolist())) for d, e in zip(keys, encoded)], schema)
 
     return id_and_text(docs).mapInPandas(run, schema)
 

@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int = SEQUENCE_LENGTH,
             for keys, texts in byte_bpe.texts_of(batch):
                 rows = []
                 for doc_id, ids in zip(keys, codec.encode_texts(texts)):
-                    ids += end
+                    ids = ids.astype("<u4").tobytes() + end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, limit)):
                         rows.append((doc_id, piece, start, length, ids[4 * start:4 * (start + length)]))
                 yield byte_bpe.frame(rows, PIECES)
