@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spotrace.llm import byte_bpe, packing
+from spotrace.llm import byte_bpe, packing, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,15 @@ def op2_byte_bpe(spark, sf):
 
     docs = table(spark, sf, "documents")
     return byte_bpe.round_trip_digests(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op5_url_filter(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    judged = url_filter.filter_urls(pages, url_filter.labelled_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query(quality_rules.oracle_sql())
+def op9_quality_rules(spark, sf):
+    return quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")
