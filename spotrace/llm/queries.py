@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spotrace.llm import byte_bpe, packing, quality_rules, url_filter
+from spotrace.llm import brown_lm, byte_bpe, packing, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,3 +54,13 @@ def op5_url_filter(spark, sf):
 @query(quality_rules.oracle_sql())
 def op9_quality_rules(spark, sf):
     return quality_rules.judge(table(spark, sf, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
+def crc_mod(n: int):
+    """crc32 of the document number as text, modulo n; a null number counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query()
+def op10_brown_lm(spark, sf):
+    return brown_lm.score_documents(table(spark, sf, "documents"), crc_mod(7) != 2)
