@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotrace.llm import brown_lm, byte_bpe, packing, quality_rules, url_filter
+from spotrace.llm import brown_lm, byte_bpe, packing, quality_gam, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,15 @@ def crc_mod(n: int):
 @query()
 def op10_brown_lm(spark, sf):
     return brown_lm.score_documents(table(spark, sf, "documents"), crc_mod(7) != 2)
+
+
+GOOD_FROM = 0.3
+
+
+@query()
+def op3_quality_gam(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    scored = quality_gam.score_documents(docs, labels, crc_mod(5) != 0)
+    return scored.select(
+        "doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
+    )
