@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotrace.llm import brown_lm, byte_bpe, packing, quality_gam, quality_rules, url_filter
+from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, packing, quality_gam, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,18 @@ def op3_quality_gam(spark, sf):
     return scored.select(
         "doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
     )
+
+
+@query("""
+WITH RECURSIVE l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a, embeddings b
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95
+),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.x LEFT JOIN n ON e.vec_id = n.x
+""")
+def op7_embedding_dedup(spark, sf):
+    return embedding_dedup.deduplicate(table(spark, sf, "embeddings").select("vec_id", "embedding"))
