@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, packing, quality_gam, quality_rules, url_filter
+from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, html_extract, packing, quality_gam, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ FROM embeddings e JOIN c ON e.vec_id = c.x LEFT JOIN n ON e.vec_id = n.x
 """)
 def op7_embedding_dedup(spark, sf):
     return embedding_dedup.deduplicate(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op6_html_extract(spark, sf):
+    return html_extract.extract(table(spark, sf, "pages"))
