@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, html_extract, near_dedup, packing, quality_gam, quality_rules, url_filter
+from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, html_extract, near_dedup, packing, quality_gam, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op6_html_extract(spark, sf):
 @query()
 def op4_near_dedup(spark, sf):
     return near_dedup.deduplicate(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query()
+def op8_substring_dedup(spark, sf):
+    return substring_dedup.duplicate_passages(table(spark, sf, "documents").select("doc_id", "text"))
