@@ -1,16 +1,55 @@
-"""The corpus pipeline: stages on the documents table, each written and read again before the next."""
+"""The corpus pipeline: stages on the documents table, each written and read again before the next.
+
+Quality rules clean texts line by line and reject documents; the classifier, learnt from the labels
+table, rejects what scores low; of near-duplicate documents the first stays; passages that an
+earlier document has are cut out; what is left is encoded and packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spotrace.llm import near_dedup, packing, quality_gam, quality_rules, substring_dedup
+from spotrace.llm.queries import GOOD_FROM, vocabulary
 from spotrace.session import materialize
 
-STAGES: list = []
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.clean(docs)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_gam.keep_good(docs, labels, F.lit(True), GOOD_FROM)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_first(docs)
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_passages(docs, substring_dedup.duplicate_passages(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+# Models, sketches and token ids have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``; one row per piece of the packed sequences."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

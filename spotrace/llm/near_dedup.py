@@ -250,3 +250,9 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its group, as they came; nulls as in :func:`deduplicate`."""
+    gone = deduplicate(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

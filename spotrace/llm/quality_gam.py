@@ -270,3 +270,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFr
     """
     rows = materialize(features(docs), "features")
     return with_scores(rows, train(rows, labels, learn))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they came; nothing is shuffled but training rows.
+
+    Learning and nulls as in :func:`score_documents`.
+    """
+    model = train(materialize(features(docs), "features"), labels, learn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.score(features_of(data, offsets)) for _, data, offsets in words.text_blocks([batch], None, "text")]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -121,12 +121,14 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with: text cleaned, n_chars (if any) counted anew."""
-    judged = judge(docs, "__q_").where("__q_kept")
-    return judged.select(*[
+    judged = judge(docs, "__q_")
+    # A generator instead of a filter: a filter would be pushed below the projections and repeat their work.
+    row = F.struct(*[
         F.col("__q_clean_text").alias(c) if c == "text"
         else F.length("__q_clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
         else F.col(c) for c in docs.columns
     ])
+    return judged.select(F.inline(F.when(F.col("__q_kept"), F.array(row))))
 
 
 def oracle_sql() -> str:

@@ -78,11 +78,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], key: str, text: str, most: int = 2_000_000) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(keys, bytes, offsets) of bounded groups of rows; null texts are empty."""
+def text_blocks(batches: Iterable[pa.RecordBatch], key: str | None, text: str, most: int = 2_000_000) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(keys, bytes, offsets) of bounded groups of rows; null texts are empty; without a key column, keys are None."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+        keys = [None] * len(column) if key is None else batch.column(batch.schema.get_field_index(key)).to_pylist()
         column = column.fill_null("").cast(pa.large_binary())
         if not len(column):
             continue
