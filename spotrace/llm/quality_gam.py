@@ -59,7 +59,7 @@ def _repeats(text_of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     keys = words.mix(hashes + text_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    again = np.append(False, keys[1:] == keys[:-1])
+    again = np.append(False, keys[1:] == keys[:-1])[:len(keys)]
     return np.bincount(text_of[order][again], minlength=n)
 
 
@@ -74,7 +74,7 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     hashes = words.hash_spans(data, starts, ends)
     runs, run_first = words.shingle_hashes(hashes, first, 5)
     run_count = np.diff(run_first)
-    same = np.append(False, (hashes[1:] == hashes[:-1]) & (text_of[1:] == text_of[:-1])) if len(hashes) else np.zeros(0, bool)
+    same = np.append(False, (hashes[1:] == hashes[:-1]) & (text_of[1:] == text_of[:-1]))[:len(hashes)]
     letters, capitals = np.append(0, np.cumsum(_LETTER[data])), np.append(0, np.cumsum(_CAPITAL[data]))
     symbols = np.append(0, np.cumsum(_SYMBOL[data]))
     word_letters = letters[ends] - letters[starts]
