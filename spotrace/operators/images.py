@@ -47,11 +47,16 @@ def unpack_frames(frames: DataFrame, keys: Sequence[str] = DATUM) -> DataFrame:
 def pack_frames(
     pixels: DataFrame, height: int = FRAME_SIDE, width: int = FRAME_SIDE, keys: Sequence[str] = DATUM
 ) -> DataFrame:
-    """One array per frame in row order; a group is one frame and thus bounded."""
+    """One array per frame in row order; a group is one frame and thus bounded.
+
+    A frame whose pixels are not exactly the cells of height by width is an error.
+    """
     cell = F.struct((F.col("y") * width + F.col("x")).alias("pos"), F.col("v"))
     return pixels.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
         *keys, "frame", F.lit(height).alias("height"), F.lit(width).alias("width"),
-        F.col("cells.v").alias("pixels"),
+        F.when(
+            F.col("cells.pos") == F.sequence(F.lit(0), F.lit(height * width - 1)).cast("array<int>"), F.col("cells.v")
+        ).otherwise(F.raise_error(F.concat(F.lit("incomplete frame "), F.col("frame").cast("string")))).alias("pixels"),
     )
 
 
@@ -234,19 +239,22 @@ def box_intensity_frames(
         lists = F.broadcast(lists)
 
     def total(b: Column) -> Column:
-        rows = F.sequence(b["y0"], b["y0"] + b["width"] - 1)
+        """Sum over the part of a box inside the frame; null without any."""
+        top, bottom = F.greatest(b["y0"], F.lit(0)), F.least(b["y0"] + b["width"], F.col("height")) - 1
+        left, right = F.greatest(b["x0"], F.lit(0)), F.least(b["x0"] + b["width"], F.col("width")) - 1
         line = F.transform(
-            rows, lambda y: F.aggregate(
-                F.slice("pixels", y * F.col("width") + b["x0"] + 1, b["width"]),
+            F.sequence(top, bottom), lambda y: F.aggregate(
+                F.slice("pixels", y * F.col("width") + left + 1, right - left + 1),
                 F.lit(0.0), lambda acc, v: acc + v,
             )
         )
-        return F.aggregate(line, F.lit(0.0), lambda acc, v: acc + v) / b["width"]
+        inside = (top <= bottom) & (left <= right)
+        return F.when(inside, F.aggregate(line, F.lit(0.0), lambda acc, v: acc + v) / b["width"])
 
     measured = F.transform("boxes", lambda b: F.struct(b["trace_num"].alias("trace_num"), total(b).alias("raw")))
-    return frames.join(lists, "datum").select("datum", "frame", F.explode(measured).alias("m")).select(
-        "datum", "m.trace_num", "frame", "m.raw"
-    )
+    return frames.join(lists, "datum").select("datum", "frame", F.explode(measured).alias("m")).filter(
+        "m.raw IS NOT NULL"
+    ).select("datum", "m.trace_num", "frame", "m.raw")
 
 
 def column_profile(image: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def segment(
     Boxes are stored once: the peak search is per recording and must not be
     repeated for every consumer.
     """
-    cleaned = clean_frames(frames, manifest, background)
-    image = rescale_16bit(z_project_frames(cleaned))
+    # Cleaned frames are read again for the traces, the image by several steps: each is made once.
+    cleaned = frames if background is None else materialize(clean_frames(frames, manifest, background), "cleaned")
+    image = materialize(rescale_16bit(materialize(z_project_frames(cleaned), "projected")), "image")
     settings = broadcast_if_small(manifest.select("datum", "peak_prominence", "profile_tolerance"))
     peaks = find_maxima(image.join(settings, "datum"), F.col("peak_prominence"))
     grown = grow_boxes(
@@ -84,7 +85,8 @@ def segmentation_grid(
     radii = F.array(*[F.lit(r) for r in sorted({int(r) for r, _, _ in grid})])
     per_radius = subtract_background(frames.withColumn("radius", F.explode(radii)), "radius")
     by_radius = ["datum", "radius"]
-    image = rescale_16bit(z_project_frames(per_radius, by_radius), by_radius)
+    projected = materialize(z_project_frames(per_radius, by_radius), "projected")
+    image = materialize(rescale_16bit(projected, by_radius), "image")
     tried = image.withColumn(
         "trial", F.explode(F.filter(trials, lambda t: t["radius"] == F.col("radius")))
     ).select("datum", "radius", "trial.prominence", "trial.tolerance", "y", "x", "v")

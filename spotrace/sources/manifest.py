@@ -50,8 +50,13 @@ def parse_manifest(files: DataFrame) -> DataFrame:
         place = F.array_position("header", F.lit(name)).cast("int")
         return F.when(place > 0, F.get("values", place - 1))
 
+    def number(text: Column, kind: str) -> Column:
+        """An empty field is missing, an unreadable one an error."""
+        wrong = F.raise_error(F.concat(F.lit("unreadable number in the manifest: "), text)).cast(kind)
+        return F.when(text != "", F.coalesce(text.try_cast(kind), wrong))
+
     typed = {
-        column: field(header) if column in ("label", "filepath") else field(header).try_cast(_DEFAULTS[column][0])
+        column: field(header) if column in ("label", "filepath") else number(field(header), _DEFAULTS[column][0])
         for header, column in _COLUMN_OF.items()
     }
     return cells.select((F.col("pos") + 1).alias("datum"), *[c.alias(n) for n, c in typed.items()])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spotrace.functions.chunks import chunk_of
 from spotrace.model import STATUS_HEADER_BINDING, STATUS_HEADER_FLOW, TRACE_KEYS
+from spotrace.operators.labels import match_labels
 from spotrace.session import broadcast_if_small
 
 # Values per text line of a trace record.  Readers split on commas only, so a
@@ -22,19 +23,44 @@ LINE_BITS = 13
 
 
 def _label_of_file() -> Column:
-    """Label of a row's file: its folder ``label=...`` or the file stem without its suffix."""
+    """Label of a row's file: its folder ``label=...``, or the stem without tag and ``_IntensityTraces``."""
     path = F.col("_metadata.file_path")
     folder = F.regexp_extract(path, r"label=([^/]+)/[^/]*$", 1)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_[^_]*$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_IntensityTraces)?_[^_]*$", 1)
     return F.when(folder != "", folder).otherwise(stem)
 
 
-def _with_datum(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(manifest.select("datum", "label")), "label")
+def _or_error(known: Column, kind: str, message: Column) -> Column:
+    return F.coalesce(known, F.raise_error(message).cast(kind))
+
+
+def _read_rows(
+    spark: SparkSession, path: str, manifest: DataFrame, match: str, unmatched: str, separator: str | None = None
+) -> DataFrame:
+    """(datum, label, start_frame, value) of all records under ``path``.
+
+    ``match`` is ``exact`` (folder or file stem) or ``contains`` (a label anywhere in the file name).  A file
+    of no recording is an error, or left out with ``unmatched="drop"``.
+    """
+    if match not in ("exact", "contains") or unmatched not in ("error", "drop"):
+        raise ValueError("match is 'exact' or 'contains', unmatched is 'error' or 'drop'")
+    name = F.col("_metadata.file_name").alias("filename")
+    text = spark.read.text(path, lineSep=separator).select(_label_of_file().alias("label"), name, "value")
+    columns = ["datum", "label"] + (["start_frame"] if "start_frame" in manifest.columns else [])
+    if match == "contains":
+        hits = match_labels(text.select("filename").distinct(), manifest, "contains").select("filename", "label")
+        text = text.drop("label").join(broadcast_if_small(hits), "filename", "left")
+    rows = text.join(broadcast_if_small(manifest.select(*columns)), "label", "left" if unmatched == "error" else "inner")
+    message = F.concat(F.lit("no recording for file "), "filename")
+    datum = _or_error(F.col("datum"), rows.schema["datum"].dataType.simpleString(), message).alias("datum")
+    return rows.select(datum, *columns[1:], "value")
 
 
 def _with_label(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(manifest.select("datum", "label")), "datum")
+    """Add the label; a row of a recording that the manifest lacks is an error."""
+    met = rows.join(broadcast_if_small(manifest.select("datum", "label")), "datum", "left")
+    message = F.concat(F.lit("no label for recording "), F.col("datum").cast("string"))
+    return met.withColumn("label", _or_error(F.col("label"), "string", message))
 
 
 def _write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
@@ -73,10 +99,11 @@ def parse_traces(records: DataFrame) -> DataFrame:
     )
 
 
-def read_traces(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Long samples of all trace files under ``path``."""
-    records = spark.read.text(path, lineSep="@").select(_label_of_file().alias("label"), "value")
-    packed = _with_datum(parse_traces(records), manifest)
+def read_traces(
+    spark: SparkSession, path: str, manifest: DataFrame, match: str = "exact", unmatched: str = "error"
+) -> DataFrame:
+    """Long samples of all trace files under ``path``; files are matched as in :func:`_read_rows`."""
+    packed = parse_traces(_read_rows(spark, path, manifest, match, unmatched, "@"))
     return packed.select(*TRACE_KEYS, F.posexplode("raw").alias("pos", "raw")).select(
         *TRACE_KEYS, (F.col("pos") + 1).alias("frame"), "raw"
     )
@@ -131,17 +158,17 @@ def parse_status(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_status(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read_status(
+    spark: SparkSession, path: str, manifest: DataFrame, match: str = "exact", unmatched: str = "error"
+) -> DataFrame:
     """Labels of all recordings under ``path``; a header-only file gives no rows."""
-    lines = spark.read.text(path).select(_label_of_file().alias("label"), "value")
-    kinds = broadcast_if_small(manifest.select("datum", "label", "start_frame"))
-    return parse_status(lines.join(kinds, "label"))
+    return parse_status(_read_rows(spark, path, manifest, match, unmatched))
 
 
 def format_status(status: DataFrame, manifest: DataFrame) -> DataFrame:
     """Label lines with 0/1 flags; empty page slots (number 0) are not written."""
-    kinds = broadcast_if_small(manifest.select("datum", "label", "start_frame"))
-    rows = status.filter("trace_num <> 0").join(kinds, "datum")
+    kinds = broadcast_if_small(manifest.select("datum", "start_frame"))
+    rows = _with_label(status.filter("trace_num <> 0").join(kinds, "datum", "left"), manifest)
 
     def text(*names: str) -> Column:
         return F.concat_ws(",", *[F.col(n).cast("int").cast("string") for n in names])
@@ -184,9 +211,10 @@ def parse_changepoints(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_changepoints(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    lines = spark.read.text(path).select(_label_of_file().alias("label"), "value")
-    return _with_datum(parse_changepoints(lines), manifest).select(*TRACE_KEYS, "changepoints")
+def read_changepoints(
+    spark: SparkSession, path: str, manifest: DataFrame, match: str = "exact", unmatched: str = "error"
+) -> DataFrame:
+    return parse_changepoints(_read_rows(spark, path, manifest, match, unmatched)).select(*TRACE_KEYS, "changepoints")
 
 
 def format_changepoints(lists: DataFrame) -> DataFrame:
@@ -212,9 +240,10 @@ def parse_dwell_times(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_dwell_times(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    lines = spark.read.text(path).select(_label_of_file().alias("label"), "value")
-    return _with_datum(parse_dwell_times(lines), manifest).select("datum", "dwell_s")
+def read_dwell_times(
+    spark: SparkSession, path: str, manifest: DataFrame, match: str = "exact", unmatched: str = "error"
+) -> DataFrame:
+    return parse_dwell_times(_read_rows(spark, path, manifest, match, unmatched)).select("datum", "dwell_s")
 
 
 def format_dwell_times(dwell: DataFrame, block: int = 65_536) -> DataFrame:

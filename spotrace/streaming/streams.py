@@ -7,38 +7,50 @@ from pyspark.sql import functions as F
 
 from spotrace.model import FRAME_SIDE
 from spotrace.operators.events import fold_actions
-from spotrace.operators.images import _cells, region_of
-from spotrace.session import broadcast_if_small
+from spotrace.operators.images import BROADCAST_CELL_BOXES, _cells, region_of
+from spotrace.session import broadcast_if_small, is_small
 
 
 def acquisition_time(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Add ``acquired_at``: frame number times the frame interval of the recording."""
-    intervals = broadcast_if_small(manifest.select("datum", "time_interval_s"))
-    seconds = F.col("frame") * F.col("time_interval_s")
-    return rows.join(intervals, "datum").withColumn("acquired_at", F.timestamp_seconds(seconds)).drop("time_interval_s")
+    """Add ``acquired_at``: the recording's ``started_at`` plus frame number times frame interval."""
+    starts = broadcast_if_small(manifest.select("datum", "started_at", "time_interval_s"))
+    micros = F.unix_micros("started_at") + (F.col("frame") * F.col("time_interval_s") * 1_000_000).cast("long")
+    return rows.join(starts, "datum").withColumn("acquired_at", F.timestamp_micros(micros)).drop(
+        "time_interval_s", "started_at")
+
+
+def _timed(rows: DataFrame, manifest: DataFrame | None, lateness: str) -> tuple[DataFrame, list[str]]:
+    """Rows under a watermark, where the manifest knows real start times; else as they are."""
+    if manifest is None or "started_at" not in manifest.columns:
+        return rows, []
+    return acquisition_time(rows, manifest).withWatermark("acquired_at", lateness), ["acquired_at"]
 
 
 def region_intensity_stream(
-    pixels: DataFrame, manifest: DataFrame, side: int = FRAME_SIDE, lateness: str = "10 seconds"
+    pixels: DataFrame, manifest: DataFrame | None = None, side: int = FRAME_SIDE, lateness: str = "10 seconds"
 ) -> DataFrame:
-    """Quadrant sums per frame; a frame is emitted once the watermark has passed it."""
+    """Quadrant sums per frame.
+
+    With ``started_at`` in the manifest, frames carry their real acquisition time: state older than the
+    watermark goes, append mode emits a frame once, and pixels later than ``lateness`` are late for good.
+    Without it there is no common clock, so no watermark: recordings may start and end in any order,
+    nothing is dropped, state stays, and update mode gives a frame's sum so far.
+    """
     inside = F.col("y").between(0, side - 1) & F.col("x").between(0, side - 1)
-    timed = acquisition_time(pixels.filter(inside), manifest).withWatermark("acquired_at", lateness)
+    timed, time = _timed(pixels.filter(inside), manifest, lateness)
     region = region_of(F.col("y"), F.col("x"), side // 2).alias("region")
-    return timed.groupBy("datum", region, "frame", "acquired_at").agg(F.sum("v").alias("raw"))
+    return timed.groupBy("datum", region, "frame", *time).agg(F.sum("v").alias("raw"))
 
 
 def box_intensity_stream(
-    pixels: DataFrame, boxes: DataFrame, manifest: DataFrame, lateness: str = "10 seconds"
+    pixels: DataFrame, boxes: DataFrame, manifest: DataFrame | None = None, lateness: str = "10 seconds"
 ) -> DataFrame:
-    """Trace samples of arriving pixels against a stored box table."""
+    """Trace samples of arriving pixels against a stored box table; time as in :func:`region_intensity_stream`."""
     cells = _cells(boxes, "datum", "trace_num")
-    timed = acquisition_time(pixels.join(cells, ["datum", "y", "x"]), manifest).withWatermark(
-        "acquired_at", lateness
-    )
-    return timed.groupBy("datum", "trace_num", "frame", "acquired_at").agg(
-        (F.sum("v") / F.max("width")).alias("raw")
-    )
+    if is_small(boxes, BROADCAST_CELL_BOXES):
+        cells = F.broadcast(cells)  # at most 27 x 27 cells per box
+    timed, time = _timed(pixels.join(cells, ["datum", "y", "x"]), manifest, lateness)
+    return timed.groupBy("datum", "trace_num", "frame", *time).agg((F.sum("v") / F.max("width")).alias("raw"))
 
 
 def fold_actions_stream(actions: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from spotrace.operators import events, images
@@ -46,7 +48,8 @@ def test_actions_arrive_in_parts(arriving, make, tmp_path):
 
 def test_frames_are_emitted_once_complete(arriving, make, tmp_path):
     batches = [[(0, f, y, x, float(f * 10 + y + x)) for y in range(4) for x in range(4)] for f in range(1, 5)]
-    manifest = make([(0, 20.0)], "datum int, time_interval_s double")
+    start = datetime.datetime(2024, 5, 1, 12)
+    manifest = make([(0, 20.0, start)], "datum int, time_interval_s double, started_at timestamp")
     stream = streams.region_intensity_stream(arriving(batches, PIXEL_SCHEMA), manifest, 4, "10 seconds")
     seen = run(stream.drop("acquired_at"), "append", tmp_path)
     got = [tuple(r) for part in seen for r in part]
@@ -65,3 +68,34 @@ def test_boxes_on_a_stream(arriving, make, tmp_path):
     got = {tuple(r) for part in seen for r in part}
     whole = images.box_intensity(make([r for b in batches for r in b], PIXEL_SCHEMA), boxes)
     assert got == {tuple(r) for r in whole.collect()}
+
+
+def later_recording():
+    """Recording 0 runs on to frame 40 before recording 1 starts at frame 1."""
+    order = [(0, 1), (0, 2), (0, 40), (1, 1), (1, 2), (1, 3)]
+    return [[(d, f, y, x, float(d * 100 + f + y * x)) for y in range(4) for x in range(4)] for d, f in order]
+
+
+def test_a_later_recording_loses_no_frame(arriving, make, tmp_path):
+    batches = later_recording()
+    stream = streams.region_intensity_stream(arriving(batches, PIXEL_SCHEMA), None, 4)
+    seen = run(stream, "update", tmp_path)
+    got = {tuple(r) for part in seen for r in part}
+    whole = images.region_intensity(make([r for b in batches for r in b], PIXEL_SCHEMA), 4)
+    assert got == {tuple(r) for r in whole.collect()}
+
+
+def test_a_later_recording_with_start_times(arriving, make, tmp_path):
+    batches = later_recording() + [[(1, 99, 0, 0, 0.0)]]
+    day = datetime.datetime(2024, 5, 1)
+    manifest = make([(0, 1.0, day), (1, 1.0, day + datetime.timedelta(minutes=1))],
+                    "datum int, time_interval_s double, started_at timestamp")
+    boxes = make([(d, 1, 1, 1, 2) for d in (0, 1)], "datum int, trace_num int, x0 int, y0 int, width int")
+    pixels = arriving(batches, PIXEL_SCHEMA)
+    seen = run(streams.region_intensity_stream(pixels, manifest, 4).drop("acquired_at"), "append", tmp_path)
+    got = [tuple(r) for part in seen for r in part]
+    rows = make([r for b in batches[:-1] for r in b], PIXEL_SCHEMA)
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in images.region_intensity(rows, 4).collect()}
+    (tmp_path / "boxes").mkdir()
+    seen = run(streams.box_intensity_stream(pixels, boxes, manifest).drop("acquired_at"), "update", tmp_path / "boxes")
+    assert {tuple(r) for part in seen for r in part} == {tuple(r) for r in images.box_intensity(rows, boxes).collect()}
