@@ -6,10 +6,11 @@ borrow from a pseudo-random filled one.  Documents that agree on a band of four
 candidates.  Registers also estimate the similarity, corrected for chance collisions; what can still
 reach the threshold is confirmed on the full sets.
 
-Equal sets are folded first.  Within a bucket, pairs are never listed: in each round a few
-members that belong to the smallest groups are compared with the members of other groups, and
-a bucket is done when the members not yet compared so are all in one group.  Every pair of
-a bucket is thus either confirmed, refuted, or joined through others.
+Equal sets are folded first.  Within a bucket, pairs are never listed.  A few members are compared with
+all others; then, where few members stay outside the largest group found, these are
+compared with all others; where many do, the bucket parts by rare shingles.  A bucket is done
+when the members not yet compared so are all in one group.  Every pair of a bucket is thus
+confirmed, refuted, joined through others, or too far apart by its rare shingles.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,7 @@ REGISTERS = 128
 BAND = 4  # four registers of 16 bits fill one 64-bit key; (1 - 0.75**4)**32 is 5e-6
 MANTISSA = 10
 PIVOTS = 8
+WHOLE = 2_000  # pairs of a bucket that are compared at once
 MARGIN = 6.0  # standard deviations of the estimate below the threshold that are still verified
 
 _ONE = np.uint64(1)
@@ -177,32 +179,78 @@ def verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
 
 
 def _same_bucket(reps: DataFrame) -> DataFrame:
-    """(bucket, id) of the members of buckets that hold more than one set."""
+    """(bucket, id, n) of the members of buckets that hold more than one set, and how many those are."""
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket").select("bucket", "id")
-
-
-def _round(members: DataFrame, groups: DataFrame | None, asked: DataFrame | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(pivots, pairs to test) of one round: a few members of each bucket that still holds several groups."""
-    rows = members
-    if groups is None:
-        rows = rows.withColumn("g", F.col("id"))
-    else:
-        rows = rows.join(groups, rows["id"] == groups["node"], "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("g"))
-    left = rows if asked is None else rows.join(asked, ["bucket", "id"], "left_anti")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return members.join(shared, "bucket").select("bucket", "id", "n")
+
+
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(bucket, id, degree, g): members with the group found so far."""
+    return members.join(groups, members["id"] == groups["node"], "left").select(
+        "bucket", "id", "degree", F.coalesce("component", "id").alias("g"))
+
+
+def _shares(left: DataFrame) -> DataFrame:
+    """(bucket, main, others, all): of each bucket with several groups, the largest group and who is outside."""
+    sizes = left.groupBy("bucket", "g").agg(F.count("*").alias("n"))
+    return sizes.groupBy("bucket").agg(
+        F.max_by("g", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all")
+    ).where("others > 0")
+
+
+def _few(left: DataFrame) -> DataFrame:
+    """(bucket, pivot, pg): up to eight members of each bucket with several groups.
+
+    Small groups come first; of these, members that meet most others in all their buckets, as
+    the text that the others were copied from does.
+    """
     sizes = left.groupBy("bucket", "g", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(
-        F.count("*").alias("n"), F.min("id").alias("id"))
-    open_ = sizes.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
-    pivots = sizes.groupBy("bucket", "slot").agg(F.min(F.struct("n", "id", "g")).alias("p")).join(open_, "bucket").select(
-        "bucket", F.col("p.id").alias("pivot"), F.col("p.g").alias("pg"))
-    pivots = materialize(pivots, "pivots")
+        F.count("*").alias("n"), F.min(F.struct((-F.col("degree")).alias("d"), "id")).alias("m"))
+    several = sizes.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
+    return sizes.groupBy("bucket", "slot").agg(F.min(F.struct("n", "m", "g")).alias("p")).join(several, "bucket").select(
+        "bucket", F.col("p.m.id").alias("pivot"), F.col("p.g").alias("pg"))
+
+
+def _pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b): every pivot with the members of other groups in its bucket."""
     met = rows.join(pivots, "bucket").where("g <> pg")
-    pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return pivots.select("bucket", F.col("pivot").alias("id")), materialize(pairs, "pairs")
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _by_rare_shingles(crowded: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id) of finer buckets: sets that share one of their rarest shingles, by counts among all these sets.
+
+    Two sets of n and m shingles that reach the threshold have ``percent * (n + m) / (100 + percent)`` or more in
+    common.  With ``o`` for the least of that over the sets in a set's buckets, both have one of their
+    first n - o + 1 shingles in common when sorted alike, so no pair is lost; sets with too much of
+    their own have none to share.  Each set is spread once, in however many buckets it is.
+    """
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 500):
+                part = batch.iloc[s:s + 500]
+                sets = [np.frombuffer(m, "<i8") for m in part["members"]]
+                n = [len(x) for x in sets]
+                yield pd.DataFrame({
+                    "id": np.repeat(part["id"].to_numpy(), n), "shingle": np.concatenate(sets),
+                    "prefix": np.repeat(part["prefix"].to_numpy(), n),
+                })
+
+    size = (F.length("members") / 8).cast("long")
+    sized = crowded.join(candidates.select(F.col("doc_id").alias("id"), size.alias("n")), "id")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
+    met = sized.join(least, "bucket").groupBy("id").agg(F.min("m").alias("m"))
+    sets = met.join(candidates.select(F.col("doc_id").alias("id"), "members"), "id")
+    partner = F.greatest("m", F.ceil(size * percent / 100))
+    common = F.ceil((size + partner) * percent / (100 + percent))
+    each = materialize(
+        sets.select("id", "members", (size - common + 1).alias("prefix"))
+        .mapInPandas(spread, "id long, shingle long, prefix long"), "shingles")
+    seen = each.groupBy("shingle").agg(F.count("*").alias("k"))
+    own = Window.partitionBy("id")
+    ranked = each.join(seen, "shingle").withColumn("place", F.row_number().over(own.orderBy("k", "shingle")))
+    return ranked.where("place <= prefix AND k > 1").select(F.col("shingle").alias("bucket"), "id").distinct()
 
 
 def link_groups(sketched: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -213,22 +261,38 @@ def link_groups(sketched: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
         known.groupBy(*shape).agg(F.min(F.struct("doc_id", "registers", "bands")).alias("r"))
         .select(*shape, F.col("r.doc_id").alias("id"), "r.registers", "r.bands"), "sets")
     members = materialize(_same_bucket(reps), "members")
-    wanted = members.select("id").distinct()
+    degrees = members.groupBy("id").agg(F.sum("n").alias("degree"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = full_sets(texts.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "text"))
+    found = full_sets(texts.join(degrees, "id", "left_semi").select(F.col("id").alias("doc_id"), "text"))
     candidates = materialize(
         found.join(reps.select(F.col("id").alias("doc_id"), "registers"), "doc_id"), "candidates")
-    groups = asked = tested = None
-    while True:
-        pivots, pairs = _round(members, groups, asked, tested)
-        if pivots.isEmpty():
-            break
-        links = materialize(verified(pairs, candidates, percent), "links")
+    groups: DataFrame | None = None
+    finer = False
+    left = materialize(members.select("bucket", "id").join(degrees, "id").withColumn("g", F.col("id")), "left")
+    pivots = materialize(_few(left), "pivots")
+    while not pivots.isEmpty():
+        links = materialize(verified(_pairs(left, pivots), candidates, percent), "links")
         if groups is not None:
             links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         groups = graph.components(links, "a", "b")
-        asked = pivots if asked is None else asked.union(pivots)
-        tested = pairs if tested is None else tested.union(pairs)
+        asked = pivots.select("bucket", F.col("pivot").alias("id"))
+        unasked = left.select("bucket", "id", "degree").join(asked, ["bucket", "id"], "left_anti")
+        left = materialize(_grouped(unasked, groups), "left")
+        shares = materialize(_shares(left), "shares")
+        if shares.isEmpty():
+            break
+        small = F.col("others") * F.col("all") <= WHOLE
+        few, many = shares.where(small), shares.where(~small).select("bucket")
+        outside = left.join(few, "bucket").where("g <> main").select("bucket", F.col("id").alias("pivot"), F.col("g").alias("pg"))
+        crowded = left.join(many, "bucket")
+        if not finer:
+            # Buckets of many groups part once into finer ones, which are then dealt with in the same way.
+            fine = _by_rare_shingles(crowded.select("bucket", "id"), candidates, percent)
+            crowded = materialize(_grouped(fine.join(degrees, "id"), groups), "finer")
+            left = left.join(few.select("bucket"), "bucket").select("bucket", "id", "degree", "g").union(
+                crowded.select("bucket", "id", "degree", "g"))
+            finer = True
+        pivots = materialize(outside.union(_few(crowded)), "pivots")
     component = F.col("id") if groups is None else F.coalesce("component", "id")
     named = reps if groups is None else reps.join(groups, reps["id"] == groups["node"], "left")
     return named.select(*shape, component.alias("component_id"))
