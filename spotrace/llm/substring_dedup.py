@@ -1,6 +1,6 @@
 """Near-duplicate passages by compact windows.
 
-For each of four hash functions, a Cartesian tree over the hashes of a text's five-word shingles groups
+For each of three hash functions, a Cartesian tree over the hashes of a text's five-word shingles groups
 all its long enough subsequences: those between ``lo`` and ``hi`` that contain ``at`` have their
 least hash there.  Two texts with a near-duplicate passage share such a hash with a chance of 0.75 or
 more for each function.  Windows meet by that hash; the stretches around it that both
@@ -19,17 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.llm import words
-from spotrace.session import materialize
+from spotrace.session import is_small, materialize
 
 WIDTH = 5
 MIN_WORDS = 50
 PERCENT = 75
-FUNCTIONS = 4
+FUNCTIONS = 3
+SHORT_LIST = 50_000
 
 _PLACE = np.uint64((1 << 28) - 1)
 _TURN = np.uint64(0x9E3779B)  # odd, so that places and turned places correspond
@@ -72,14 +73,34 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-WINDOWS = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("at", T.IntegerType()),
-    T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()),
-])
+WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "doc", "place", "near")])
+
+
+def _packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place of the least hash (28 bits) and how far the window goes before and behind it (18 bits each)."""
+    most = (1 << 18) - 1
+    return (at << 36) | (np.minimum(at - lo, most) << 18) | np.minimum(hi - at, most)
+
+
+def _near(hashes: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, reach: int) -> np.ndarray:
+    """Four 16-bit fingerprints: two min-hashes of the shingles before ``at`` and two of those behind."""
+    out = np.zeros(len(at), np.uint64)
+    most = np.iinfo(np.uint64).max
+    mixed = [np.append(words.mix(hashes + np.uint64(7919 * k)), np.uint64(most)) for k in (1, 2)]
+    for side in (0, 1):
+        least = [np.full(len(at), most, np.uint64) for _ in mixed]
+        for d in range(1, reach + 1):
+            place = at + d if side else at - d
+            place = np.where((place >= start) & (place < stop), place, len(hashes))
+            for found, values in zip(least, mixed):
+                np.minimum(found, values[place], out=found)
+        for k, found in enumerate(least):
+            out |= (words.mix(found) & np.uint64(0xFFFF)) << np.uint64(16 * (2 * side + k))
+    return out
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Compact windows of every document: the least hash, its place and the window, in shingles of the text."""
+    """Compact windows of every document: the least hash, its place with the window's reach, and fingerprints around it."""
     least = min_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,58 +111,66 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 at, lo, hi = compact_windows(own, begin, least)
                 of = np.searchsorted(begin, at, side="right") - 1
                 base = begin[of]
+                near = _near(hashes, at, base, begin[of + 1], (least - 1) // 2)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(own[at].view(np.int64)), pa.array(keys, pa.int64()).take(pa.array(of)),
-                    *(pa.array((x - base).astype(np.int32)) for x in (at, lo, hi)),
+                    pa.array(_packed(at - base, lo - base, hi - base)), pa.array(near.view(np.int64)),
                 ], WINDOWS.names)
 
     return _docs(docs).where("doc IS NOT NULL").mapInArrow(run, WINDOWS)
 
 
-def _runs(same: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first, last, true places) of runs of true places, alone and joined over gaps, the longest first.
+# Shares of a passage's shingles that may have to match: 6/7 of both passages is a similarity of 3/4; tighter runs
+# come next, then looser ones, for passages to which one text has added words.
+_SHARES = ((6, 7), (19, 20), (1, 1), (4, 5), (3, 4))
 
-    Neighbours are joined when three quarters of the joined run are true; what was joined stays in the list.
-    """
-    place = np.flatnonzero(same)
+
+def _runs(place: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """(first, last, places) of runs of sorted places, neighbours joined while that share of the run is there."""
     if not len(place):
         return []
     cut = np.flatnonzero(np.diff(place) > 1)
     firsts, lasts = place[np.append(0, cut + 1)].tolist(), place[np.append(cut, len(place) - 1)].tolist()
-    every, joined = [], []
+    joined: list[tuple[int, int, int]] = []
     for s, e in zip(firsts, lasts):
         joined.append((s, e, e - s + 1))
-        every.append(joined[-1])
         while len(joined) > 1:
             (s0, _, n0), (_, e1, n1) = joined[-2], joined[-1]
-            if 4 * (n0 + n1) < 3 * (e1 - s0 + 1):
+            if share[1] * (n0 + n1) < share[0] * (e1 - s0 + 1):
                 break
             joined[-2:] = [(s0, e1, n0 + n1)]
-            every.append(joined[-1])
-    return sorted(every, key=lambda r: (r[0] - r[1], r[0]))
+    return joined
 
 
 def common_passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(first, last in a, first, last in b, similarity) of passages of two shingle sequences, ends included.
 
-    Passages of ``a`` do not overlap; of several that would, the longest is taken.
+    Passages of ``a`` do not overlap; ways to join runs are tried in the order of _SHARES.
     """
     found: list[tuple[int, int, int, int, float]] = []
-    for s, e, _ in _runs(np.isin(a, b)):
-        if e - s + 1 < least or any(s <= f[1] and f[0] <= e for f in found):
-            continue
-        x = a[s:e + 1]
-        kinds = np.unique(x)
-        for t, u, n in sorted(_runs(np.isin(b, kinds)), key=lambda r: -r[2]):
-            if 100 * n < percent * least:
-                break
-            if u - t + 1 < least:
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    place = np.flatnonzero(np.isin(a, ranked))
+    tried: set[tuple[int, int]] = set()
+    for share in _SHARES:
+        for s, e, _ in _runs(place, share):
+            if e - s + 1 < least or (s, e) in tried or any(s <= f[1] and f[0] <= e for f in found):
                 continue
-            y = np.unique(b[t:u + 1])
-            both = len(np.intersect1d(kinds, y, assume_unique=True))
-            if 100 * both >= percent * (len(kinds) + len(y) - both):
-                found.append((s, e, t, u, both / (len(kinds) + len(y) - both)))
-                break
+            tried.add((s, e))
+            kinds = np.unique(a[s:e + 1])
+            lo, hi = np.searchsorted(ranked, kinds, "left"), np.searchsorted(ranked, kinds, "right")
+            n = hi - lo
+            there = np.sort(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+            for t, u, held in sorted({r for k in _SHARES for r in _runs(there, k)}, key=lambda r: (-r[2], r)):
+                if 100 * held < percent * len(kinds):
+                    break  # too few of the shingles are there
+                if u - t + 1 < least:
+                    continue
+                y = np.unique(b[t:u + 1])
+                both = len(np.intersect1d(kinds, y, assume_unique=True))
+                if 100 * both >= percent * (len(kinds) + len(y) - both):
+                    found.append((s, e, t, u, both / (len(kinds) + len(y) - both)))
+                    break
     return found
 
 
@@ -154,19 +183,28 @@ SPANS = T.StructType([
 def _stretches(left: DataFrame) -> DataFrame:
     """One row per pair of documents and diagonal: the stretches of both that windows allow, and the windows met.
 
-    Every window meets the earliest of its key, if that is in another document.
+    Every window meets the earliest of its key, if that is in another document and a fingerprint agrees: one
+    side of the place, as far as fingerprints look, lies inside any passage that both have in common.
     """
-    heads = left.groupBy("key").agg(F.min(F.struct("doc", "at", "lo", "hi")).alias("p"), F.max("doc").alias("last"))
+    heads = left.groupBy("key").agg(F.min(F.struct("doc", "place", "near")).alias("p"), F.max("doc").alias("last"))
     met = left.join(heads.where("p.doc < last").select("key", "p"), "key").where("doc > p.doc")
-    before = F.least(F.col("at") - F.col("lo"), F.col("p.at") - F.col("p.lo"))
-    behind = F.least(F.col("hi") - F.col("at"), F.col("p.hi") - F.col("p.at"))
+    unlike = F.col("near").bitwiseXOR(F.col("p.near"))
+    agree = F.lit(False)
+    for lane in range(4):
+        agree = agree | (F.shiftright(unlike, 16 * lane).bitwiseAND(F.lit(0xFFFF)) == 0)
+
+    def part(place: str) -> tuple[Column, Column, Column]:
+        reach = [F.shiftright(place, k).bitwiseAND(F.lit((1 << 18) - 1)).cast("int") for k in (18, 0)]
+        return F.shiftright(place, 36).cast("int"), *reach
+
+    (at, back, on), (pat, pback, pon) = part("place"), part("p.place")
+    before, behind = F.least(back, pback), F.least(on, pon)
     spare = F.floor((before + behind) / 4).cast("int") + 8  # room for inserted words
-    return met.select(
-        "doc", F.col("p.doc").alias("other"), (F.col("at") - F.col("p.at")).alias("shift"),
-        F.greatest("lo", F.col("at") - before - spare).alias("lo"), F.least("hi", F.col("at") + behind + spare).alias("hi"),
-        F.greatest("p.lo", F.col("p.at") - before - spare).alias("plo"),
-        F.least("p.hi", F.col("p.at") + behind + spare).alias("phi"),
-        F.struct("key", "at", F.col("lo").alias("lo"), F.col("hi").alias("hi")).alias("w"),
+    return met.where(agree).select(
+        "doc", F.col("p.doc").alias("other"), (at - pat).alias("shift"),
+        F.greatest(at - back, at - before - spare).alias("lo"), F.least(at + on, at + behind + spare).alias("hi"),
+        F.greatest(pat - pback, pat - before - spare).alias("plo"), F.least(pat + pon, pat + behind + spare).alias("phi"),
+        F.struct("key", "place", "near", at.alias("at")).alias("w"),
     ).groupBy("doc", "other", "shift").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi"),
         F.collect_list("w").alias("met"),
@@ -174,9 +212,14 @@ def _stretches(left: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """(doc, lo, hi, shingles) of every wanted stretch; a document is read once for all of its stretches."""
-    wanted = stretches.select("doc", "lo", "hi").union(stretches.select("other", "plo", "phi")).distinct()
-    lists = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "wanted")
+    """(doc, lo, hi, shingles) of every wanted stretch; a document is read once for all of its stretches.
+
+    Shingles are the low 32 bits of their hashes.  A short list of stretches (50,000 at most, counted) goes to the texts.
+    """
+    wanted = materialize(stretches.select("doc", "lo", "hi").union(stretches.select("other", "plo", "phi")).distinct(), "wanted")
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    if is_small(wanted, SHORT_LIST):
+        lists = F.broadcast(lists)
     texts = _docs(docs).join(lists, "doc").select(F.struct("doc", "parts").alias("key"), "text")
     schema = T.StructType([
         T.StructField("doc", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()),
@@ -187,7 +230,7 @@ def _cut(docs: DataFrame, stretches: DataFrame) -> DataFrame:
         for keys, data, offsets in words.text_blocks(batches, "key", "text"):
             hashes, begin = _shingles(data, offsets)
             rows = [
-                (k["doc"], p["lo"], p["hi"], hashes[b + p["lo"]:min(b + p["hi"] + 1, e)].astype("<u8").tobytes())
+                (k["doc"], p["lo"], p["hi"], hashes[b + p["lo"]:min(b + p["hi"] + 1, e)].astype("<u4").tobytes())
                 for k, b, e in zip(keys, begin.tolist(), begin[1:].tolist()) for p in k["parts"] if b + p["lo"] < e
             ]
             columns = list(zip(*rows)) or [[]] * 4
@@ -213,7 +256,8 @@ def _refined(a: np.ndarray, b: np.ndarray, i: int, j: int, key: int) -> list[int
         if 0 <= there < len(a):
             far = max(there - WIDTH + 1, 0) if side == 1 else min(there + WIDTH - 1, len(a) - 1)
             held = np.array([key & 0xFFFFFFFFFFFFFFFF, side, reach], np.uint64)
-            keys.append(int(words.mix(words.mix(held[:1] + held[2:] * np.uint64(4) + held[1:2]) ^ a[far:far + 1]).view(np.int64)[0]))
+            mixed = words.mix(held[:1] + held[2:] * np.uint64(4) + held[1:2]) ^ a[far:far + 1].astype(np.uint64)
+            keys.append(int(words.mix(mixed).view(np.int64)[0]))
     return keys
 
 
@@ -231,14 +275,14 @@ def _verified(docs: DataFrame, stretches: DataFrame, least: int, percent: int) -
         for batch in batches:
             spans, again = [], []
             for r in batch.itertuples():
-                a, b = np.frombuffer(r.a, "<u8"), np.frombuffer(r.b, "<u8")
+                a, b = np.frombuffer(r.a, "<u4"), np.frombuffer(r.b, "<u4")
                 passages = common_passages(a, b, least, percent)
                 for s, e, t, u, sim in passages:
                     spans.append((r.doc, r.lo + s, r.lo + e + WIDTH, r.other, r.plo + t, r.plo + u + WIDTH, sim))
                 for w in r.met:
                     i, j = w["at"] - r.lo, w["at"] - r.shift - r.plo
                     if not any(s <= i <= e for s, e, *_ in passages):
-                        again += [(k, r.doc, w["at"], w["lo"], w["hi"]) for k in _refined(a, b, i, j, w["key"])]
+                        again += [(k, r.doc, w["place"], w["near"]) for k in _refined(a, b, i, j, w["key"])]
             for rows, names in ((spans, SPANS.names), (again, WINDOWS.names)):
                 if rows:
                     yield pd.DataFrame(rows, columns=names).convert_dtypes().reindex(columns=FOUND.names)
@@ -255,7 +299,8 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     are not compared with each other.  Other columns are not read; an empty table gives no rows.  Starts jobs.
     """
     least = min_words - WIDTH + 1
-    made = materialize(windows(docs, min_words), "windows")
+    # Windows are made twice rather than stored: once to count their hashes, once to keep those that meet others.
+    made = windows(docs, min_words)
     shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     left = materialize(made.join(shared, "key"), "shared")
     parts: list[DataFrame] = []
