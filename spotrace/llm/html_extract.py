@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotrace.llm import words
+from spotrace.llm import samples, words
 
 PATH_SIZE, WORD_SIZE, HIDDEN = 64, 24, 12
 NUMBERS = 7
@@ -371,17 +371,15 @@ def made_up_page(rng: random.Random) -> tuple[str, set[str]]:
 
 
 def training_pages(pages: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Made-up pages, and landmark pages of a bounded sample of ``pages`` (smallest hash of the url and text first)."""
+    """Made-up pages, and landmark pages of a bounded sample of ``pages`` (smallest hash first)."""
     rng = random.Random(11)
     found = []
     for _ in range(MADE_UP_PAGES):
         page, main = made_up_page(rng)
         blocks = blocks_of(page)
         found.append((blocks, np.array([b.text in main for b in blocks], np.float32)))
-    sample = (
-        pages.select(F.col("html").cast("string").alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
-        .orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
-    )
+    fitting = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
+    sample = samples.smallest_hashes(fitting, SAMPLE_PAGES, "html").collect()
     for r in sample:
         blocks = blocks_of(r["html"])
         labels = landmark_labels(blocks) if len(blocks) > 1 else None

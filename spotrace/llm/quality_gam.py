@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotrace.llm import words
+from spotrace.llm import samples, words
 from spotrace.session import materialize
 
 FEATURES = (
@@ -240,10 +240,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 def train(rows: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRAINING_ROWS) -> Gam:
     """Fit on feature rows that ``labels`` (doc_id, quality) covers and ``learn`` marks, ``most`` at most."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("__y")).where("__y IN (0, 1)")
-    sample = (
-        rows.where(learn).join(known, "doc_id").select("doc_id", "features", "__y")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(most).toPandas()
-    )
+    met = rows.where(learn).join(known, "doc_id").select("doc_id", "features", "__y")
+    sample = samples.smallest_hashes(met, most, "doc_id", "__y").toPandas()
     if not len(sample):
         return Gam()
     return fit(np.array(sample["features"].tolist(), np.float64), sample["__y"].to_numpy(np.float64))
