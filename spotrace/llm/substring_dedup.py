@@ -6,7 +6,8 @@ least hash there.  Two texts with a near-duplicate passage share such a hash wit
 more for each function.  Windows meet by that hash; the stretches around it that both
 windows allow are then compared shingle by shingle.
 
-Windows of one hash are not paired with each other.  They are compared with the earliest of
+Windows of one hash part by four fingerprints of their surroundings, each window going with all four of its own.
+Those of one hash and fingerprint are not paired with each other.  They are compared with the earliest of
 them.  A window without a common passage there is tried again under a finer key: the hash, and what
 follows in its text beyond the run that it shares with the earliest.  A short phrase in many unrelated
 texts so falls apart at once.  Passages are found between different documents.
@@ -14,12 +15,13 @@ texts so falls apart at once.  Passages are found between different documents.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +76,7 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "doc", "place", "near")])
+PARTED = T.StructType(WINDOWS.fields[:3])
 
 
 def _packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -180,31 +183,46 @@ SPANS = T.StructType([
 ])
 
 
-def _stretches(left: DataFrame) -> DataFrame:
+def _parted(made: DataFrame) -> DataFrame:
+    """Every window under four finer keys (columns of PARTED): its hash with each fingerprint.
+
+    Of any passage that two windows of one hash have in common, one side of the place lies inside it as far as
+    fingerprints look, so that an exact repeat has both fingerprints of that side.
+    """
+    lanes = [
+        F.xxhash64("key", F.lit(lane), F.shiftright("near", 16 * lane).bitwiseAND(F.lit(0xFFFF))) for lane in range(4)
+    ]
+    return made.select(F.explode(F.array(*lanes)).alias("key"), "doc", "place")
+
+
+def _stretches(left: DataFrame, least: int) -> DataFrame:
     """One row per pair of documents and diagonal: the stretches of both that windows allow, and the windows met.
 
-    Every window meets the earliest of its key, if that is in another document and a fingerprint agrees: one
-    side of the place, as far as fingerprints look, lies inside any passage that both have in common.
+    Every window meets the earliest of its key.  If that is in the same document, they only part under finer keys,
+    which needs no more than ``least`` shingles on each side.
     """
-    heads = left.groupBy("key").agg(F.min(F.struct("doc", "place", "near")).alias("p"), F.max("doc").alias("last"))
-    met = left.join(heads.where("p.doc < last").select("key", "p"), "key").where("doc > p.doc")
-    unlike = F.col("near").bitwiseXOR(F.col("p.near"))
-    agree = F.lit(False)
-    for lane in range(4):
-        agree = agree | (F.shiftright(unlike, 16 * lane).bitwiseAND(F.lit(0xFFFF)) == 0)
+    group = Window.partitionBy("key")
+    met = left.select(
+        "*", F.min(F.struct("doc", "place")).over(group).alias("p"), F.max("doc").over(group).alias("last"),
+    ).where("p.doc < last AND (doc > p.doc OR place > p.place)")
+    own = F.col("doc") == F.col("p.doc")
 
     def part(place: str) -> tuple[Column, Column, Column]:
         reach = [F.shiftright(place, k).bitwiseAND(F.lit((1 << 18) - 1)).cast("int") for k in (18, 0)]
         return F.shiftright(place, 36).cast("int"), *reach
 
+    def near(reach: Column) -> Column:
+        return F.when(own, F.least(reach, F.lit(least))).otherwise(reach)
+
     (at, back, on), (pat, pback, pon) = part("place"), part("p.place")
+    back, on, pback, pon = near(back), near(on), near(pback), near(pon)
     before, behind = F.least(back, pback), F.least(on, pon)
     spare = F.floor((before + behind) / 4).cast("int") + 8  # room for inserted words
-    return met.where(agree).select(
+    return met.select(
         "doc", F.col("p.doc").alias("other"), (at - pat).alias("shift"),
         F.greatest(at - back, at - before - spare).alias("lo"), F.least(at + on, at + behind + spare).alias("hi"),
         F.greatest(pat - pback, pat - before - spare).alias("plo"), F.least(pat + pon, pat + behind + spare).alias("phi"),
-        F.struct("key", "place", "near", at.alias("at")).alias("w"),
+        F.struct("key", "place", at.alias("at")).alias("w"),
     ).groupBy("doc", "other", "shift").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi"),
         F.collect_list("w").alias("met"),
@@ -261,11 +279,11 @@ def _refined(a: np.ndarray, b: np.ndarray, i: int, j: int, key: int) -> list[int
     return keys
 
 
-FOUND = T.StructType([*SPANS.fields, *WINDOWS.fields])
+FOUND = T.StructType([*SPANS.fields, *PARTED.fields])
 
 
 def _verified(docs: DataFrame, stretches: DataFrame, least: int, percent: int) -> DataFrame:
-    """Passages found (columns of SPANS), and the windows to try again under finer keys (columns of WINDOWS)."""
+    """Passages found (columns of SPANS), and the windows to try again under finer keys (columns of PARTED)."""
     cut = materialize(_cut(docs, stretches), "cut")
     one = cut.withColumnRenamed("shingles", "a")
     two = cut.select(F.col("doc").alias("other"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("shingles").alias("b"))
@@ -276,25 +294,53 @@ def _verified(docs: DataFrame, stretches: DataFrame, least: int, percent: int) -
             spans, again = [], []
             for r in batch.itertuples():
                 a, b = np.frombuffer(r.a, "<u4"), np.frombuffer(r.b, "<u4")
-                passages = common_passages(a, b, least, percent)
+                passages = common_passages(a, b, least, percent) if r.doc != r.other else []
                 for s, e, t, u, sim in passages:
                     spans.append((r.doc, r.lo + s, r.lo + e + WIDTH, r.other, r.plo + t, r.plo + u + WIDTH, sim))
                 for w in r.met:
                     i, j = w["at"] - r.lo, w["at"] - r.shift - r.plo
                     if not any(s <= i <= e for s, e, *_ in passages):
-                        again += [(k, r.doc, w["place"], w["near"]) for k in _refined(a, b, i, j, w["key"])]
-            for rows, names in ((spans, SPANS.names), (again, WINDOWS.names)):
+                        again += [(k, r.doc, w["place"]) for k in _refined(a, b, i, j, w["key"])]
+            for rows, names in ((spans, SPANS.names), (again, PARTED.names)):
                 if rows:
                     yield pd.DataFrame(rows, columns=names).convert_dtypes().reindex(columns=FOUND.names)
 
     return joined.select("doc", "lo", "other", "plo", "shift", "met", "a", "b").mapInPandas(run, FOUND)
 
 
+def _outermost(spans: DataFrame) -> DataFrame:
+    """Spans without those that lie inside a span of the same document found in an earlier other document."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["other_doc_id", "start", "end"], ignore_index=True)
+        starts: list[int] = []  # of the spans held, with their ends; both rise
+        ends: list[int] = []
+        keep = []
+        for _, part in rows.groupby("other_doc_id"):
+            new = []
+            for s, e in zip(part["start"].tolist(), part["end"].tolist()):
+                k = bisect_right(starts, s)
+                keep.append(not (k and ends[k - 1] >= e))
+                if keep[-1]:
+                    new.append((s, e))
+            for s, e in new:
+                k = bisect_right(starts, s)
+                if k and ends[k - 1] >= e:
+                    continue
+                first = k - (k > 0 and starts[k - 1] == s)
+                last = bisect_right(ends, e)
+                starts[first:max(first, last)], ends[first:max(first, last)] = [s], [e]
+        return rows[keep]
+
+    return spans.groupBy("doc_id").applyInPandas(run, SPANS)
+
+
 def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """Passages that a document has in common with an earlier one (by doc_id).
 
     Rows: doc_id, start, end (words of the text, end excluded), other_doc_id, other_start, other_end, similarity
-    of the shingle sets.  Words are lower-cased (A-Z).  Passages have ``min_words`` words or more.  A null,
+    of the shingle sets.  A passage that lies inside one in common with a still earlier document is left out.
+    Words are lower-cased (A-Z).  Passages have ``min_words`` words or more.  A null,
     empty or short text and a null doc_id have none; rows that repeat a doc_id count as one document and
     are not compared with each other.  Other columns are not read; an empty table gives no rows.  Starts jobs.
     """
@@ -302,21 +348,21 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     # Windows are made twice rather than stored: once to count their hashes, once to keep those that meet others.
     made = windows(docs, min_words)
     shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = materialize(made.join(shared, "key"), "shared")
+    left = _parted(materialize(made.join(shared, "key"), "shared"))
     parts: list[DataFrame] = []
     while True:
-        stretches = materialize(_stretches(left), "stretches")
+        stretches = materialize(_stretches(left, least), "stretches")
         if stretches.isEmpty():
             break
         found = materialize(_verified(docs, stretches, least, percent), "found")
         parts.append(found.where("doc_id IS NOT NULL").select(*SPANS.names))
-        left = found.where("key IS NOT NULL").select(*WINDOWS.names).distinct()
+        left = found.where("key IS NOT NULL").select(*PARTED.names).distinct()
     if not parts:
         return docs.sparkSession.createDataFrame([], SPANS)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct()
+    return _outermost(out.distinct())
 
 
 def remove_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -420,6 +420,18 @@ def test_planted_passages(spark, odd, no_docs):
 # --- pages ------------------------------------------------------------------
 
 
+def test_passage_whose_shingles_lie_apart_in_earlier_documents(spark):
+    words_of = prose(910, 55).split()
+    texts = []
+    for k in range(12):  # every shingle of the passage, amid words of its own
+        texts.append(" ".join(prose(3000 + 100 * k + i, 40) + " " + " ".join(words_of[i:i + 5]) for i in range(51)) + " " + prose(4999 + k, 40))
+    texts += [prose(5000 + k, 60) + " " + " ".join(words_of) + " " + prose(6000 + k, 60) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.duplicate_passages(docs).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(13, 12), (14, 12)}
+    assert all(r["start"] <= 60 and r["end"] >= 115 for r in got)
+
+
 def test_url_filter_by_brute_force(spark):
     urls = [None, "", "no scheme", "http://Blog.Example.COM/en/1?x=1", "https://www.example.com/en/a#b", "http://x.net/es/1",
             "http://x.net/fr", "http://net/fr/", "http://example.com", "http://a.b.com/", "ftp://É.Org?q://z", "http://notcom/x"]
