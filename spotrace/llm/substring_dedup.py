@@ -1,6 +1,6 @@
 """Near-duplicate passages by compact windows.
 
-For each of three hash functions, a Cartesian tree over the hashes of a text's five-word shingles groups
+For each of four hash functions, a Cartesian tree over the hashes of a text's five-word shingles groups
 all its long enough subsequences: those between ``lo`` and ``hi`` that contain ``at`` have their
 least hash there.  Two texts with a near-duplicate passage share such a hash with a chance of 0.75 or
 more for each function.  Windows meet by that hash; the stretches around it that both
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from spotrace.session import is_small, materialize
 WIDTH = 5
 MIN_WORDS = 50
 PERCENT = 75
-FUNCTIONS = 3
+FUNCTIONS = 4
 SHORT_LIST = 50_000
 
 _PLACE = np.uint64((1 << 28) - 1)
@@ -102,23 +103,22 @@ def _near(hashes: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarra
     return out
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Compact windows of every document: the least hash, its place with the window's reach, and fingerprints around it."""
+def windows(docs: DataFrame, function: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """Compact windows of every document under one hash function: the least hash, its place with the window's reach, and fingerprints around it."""
     least = min_words - WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, data, offsets in words.text_blocks(batches, "doc", "text"):
             hashes, begin = _shingles(data, offsets)
-            for k in range(FUNCTIONS):
-                own = words.mix(hashes + np.uint64((k + 1) * 0x51B54A32D192ED03 % 2**64))
-                at, lo, hi = compact_windows(own, begin, least)
-                of = np.searchsorted(begin, at, side="right") - 1
-                base = begin[of]
-                near = _near(hashes, at, base, begin[of + 1], (least - 1) // 2)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own[at].view(np.int64)), pa.array(keys, pa.int64()).take(pa.array(of)),
-                    pa.array(_packed(at - base, lo - base, hi - base)), pa.array(near.view(np.int64)),
-                ], WINDOWS.names)
+            own = words.mix(hashes + np.uint64((function + 1) * 0x51B54A32D192ED03 % 2**64))
+            at, lo, hi = compact_windows(own, begin, least)
+            of = np.searchsorted(begin, at, side="right") - 1
+            base = begin[of]
+            near = _near(hashes, at, base, begin[of + 1], (least - 1) // 2)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(own[at].view(np.int64)), pa.array(keys, pa.int64()).take(pa.array(of)),
+                pa.array(_packed(at - base, lo - base, hi - base)), pa.array(near.view(np.int64)),
+            ], WINDOWS.names)
 
     return _docs(docs).where("doc IS NOT NULL").mapInArrow(run, WINDOWS)
 
@@ -195,8 +195,8 @@ def _parted(made: DataFrame) -> DataFrame:
     return made.select(F.explode(F.array(*lanes)).alias("key"), "doc", "place")
 
 
-def _stretches(left: DataFrame, least: int) -> DataFrame:
-    """One row per pair of documents and diagonal: the stretches of both that windows allow, and the windows met.
+def _met(left: DataFrame, least: int) -> DataFrame:
+    """Windows with the stretches of both documents that they and the windows they meet allow.
 
     Every window meets the earliest of its key.  If that is in the same document, they only part under finer keys,
     which needs no more than ``least`` shingles on each side.
@@ -223,7 +223,12 @@ def _stretches(left: DataFrame, least: int) -> DataFrame:
         F.greatest(at - back, at - before - spare).alias("lo"), F.least(at + on, at + behind + spare).alias("hi"),
         F.greatest(pat - pback, pat - before - spare).alias("plo"), F.least(pat + pon, pat + behind + spare).alias("phi"),
         F.struct("key", "place", at.alias("at")).alias("w"),
-    ).groupBy("doc", "other", "shift").agg(
+    )
+
+
+def _stretches(met: DataFrame) -> DataFrame:
+    """One row per pair of documents and diagonal: the stretches of all windows that meet there, and these windows."""
+    return met.groupBy("doc", "other", "shift").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi"),
         F.collect_list("w").alias("met"),
     )
@@ -345,18 +350,21 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     are not compared with each other.  Other columns are not read; an empty table gives no rows.  Starts jobs.
     """
     least = min_words - WIDTH + 1
-    # Windows are made twice rather than stored: once to count their hashes, once to keep those that meet others.
-    made = windows(docs, min_words)
-    shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = _parted(materialize(made.join(shared, "key"), "shared"))
+    # One hash function after another, so that only one shuffles its windows at a time.
+    met = []
+    for k in range(FUNCTIONS):
+        made = materialize(windows(docs, k, min_words), "windows")
+        shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        met.append(materialize(_met(_parted(made.join(shared, "key")), least), "met"))
+    left = reduce(DataFrame.union, met)
     parts: list[DataFrame] = []
     while True:
-        stretches = materialize(_stretches(left, least), "stretches")
+        stretches = materialize(_stretches(left), "stretches")
         if stretches.isEmpty():
             break
         found = materialize(_verified(docs, stretches, least, percent), "found")
         parts.append(found.where("doc_id IS NOT NULL").select(*SPANS.names))
-        left = found.where("key IS NOT NULL").select(*PARTED.names).distinct()
+        left = _met(found.where("key IS NOT NULL").select(*PARTED.names).distinct(), least)
     if not parts:
         return docs.sparkSession.createDataFrame([], SPANS)
     out = parts[0]

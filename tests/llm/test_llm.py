@@ -432,6 +432,25 @@ def test_passage_whose_shingles_lie_apart_in_earlier_documents(spark):
     assert all(r["start"] <= 60 and r["end"] >= 115 for r in got)
 
 
+def test_windows_of_all_functions_find_changed_passages(spark):
+    rng = random.Random(14)
+    a, b, n = [], [], 150
+    for k in range(n):  # one word of 52 changed: shingles are more than 75 % alike
+        w = prose(7000 + k, 52).split()
+        v = list(w)
+        v[rng.randrange(8, 44)] = "changed%d" % k
+        a.append((k, " ".join(w)))
+        b.append((n + k, " ".join(v)))
+    docs = spark.createDataFrame(a + b, "doc_id long, text string")
+    keys = [substring_dedup._parted(substring_dedup.windows(docs, k)) for k in range(substring_dedup.FUNCTIONS)]
+    assert len(keys) >= 4
+    missed = [1.0]
+    for made in keys:
+        met = {r["doc"] for r in substring_dedup._met(made, 46).where("doc = other + %d" % n).select("doc", "other").collect()}
+        missed.append(missed[-1] * (1 - len(met) / n))
+    assert missed[-1] < 0.01
+
+
 def test_url_filter_by_brute_force(spark):
     urls = [None, "", "no scheme", "http://Blog.Example.COM/en/1?x=1", "https://www.example.com/en/a#b", "http://x.net/es/1",
             "http://x.net/fr", "http://net/fr/", "http://example.com", "http://a.b.com/", "ftp://É.Org?q://z", "http://notcom/x"]
