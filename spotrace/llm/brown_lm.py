@@ -3,15 +3,14 @@
 The corpus is read once and kept as blocks: one row holds the documents of one task as
 local word numbers, the 64-bit hashes of its distinct words and their training counts.  All
 later passes are scans of these blocks.  Word counts are exact sums over all blocks, keyed by hash.
-Classes belong to 65,536 hashed word types, so the class map and every matrix
-have a fixed size; each exchange step sends only a class-by-class matrix to the driver.
+Classes belong to words: profiles and the class map are tables with a row for each training word, and a block
+gets the classes of its own words by a join.  Each exchange step sends only a class-by-class matrix to the driver.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,9 +22,8 @@ from pyspark.sql import types as T
 from spotrace.llm import words
 from spotrace.session import materialize
 
-TYPES = 1 << 16
+TYPES = 1 << 63  # keys of words in the class map: their hashes without the sign
 CLASSES = 64
-GROUP = 256  # word types in one row of a profile
 BLOCK_TOKENS = 3_000_000
 EXCHANGES = 4
 DISCOUNT = 0.5
@@ -43,6 +41,12 @@ BLOCKS = T.StructType([
 ])
 
 
+CLASSED = T.StructType([f for f in BLOCKS if f.name != "counts"] + [
+    T.StructField("own", T.BinaryType()),  # the class of each word
+    T.StructField("c", T.BinaryType()),  # its training count in all blocks
+])
+
+
 def to_blocks(docs: DataFrame, train: Column) -> DataFrame:
     """Blocks of (doc_id, text) rows; ``train`` marks the rows to learn from, null counts as false."""
 
@@ -99,11 +103,13 @@ def counted_words(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(type of each word, place of its end-marked sequence, train flag by document, sizes)."""
-    sizes = np.asarray(row.sizes, np.int64)
-    types = np.asarray(row.hashes, np.int64).view(np.uint64) % np.uint64(TYPES)
-    return np.frombuffer(row.tokens, "<i4"), types.astype(np.int64), np.asarray(row.train, bool), sizes
+def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word, train flag by document, sizes)."""
+    return np.frombuffer(row.tokens, "<i4"), np.asarray(row.train, bool), np.asarray(row.sizes, np.int64)
+
+
+def _own(row) -> np.ndarray:
+    return np.frombuffer(row.own, np.uint8)
 
 
 def _sequence(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -113,115 +119,147 @@ def _sequence(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def profile(blocks: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(g, counts): for each group of word types, training bigram counts [type, class of the word before]."""
+def profile(blocks: DataFrame, classes: Callable) -> DataFrame:
+    """(hash, before, n) for each training word: the classes of words before it, with their bigram counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((TYPES, CLASSES), np.int32)
         for batch in batches:
             for row in batch.itertuples():
-                tokens, types, train, sizes = _arrays(row)
-                kind = types[tokens]
-                before = np.append(END, _sequence(contexts[kind].astype(np.int64), sizes, END)[:-1])
-                kind = _sequence(kind, sizes, -1)
+                tokens, train, sizes = _arrays(row)
+                before = np.append(END, _sequence(classes(row)[tokens].astype(np.int64), sizes, END)[:-1])
+                kind = _sequence(tokens.astype(np.int64), sizes, -1)
                 use = np.repeat(train, sizes + 1) & (kind >= 0)
                 found, n = np.unique(kind[use] * CLASSES + before[use], return_counts=True)
-                total.reshape(-1)[found] += n.astype(np.int32)
-        parts = total.reshape(TYPES // GROUP, -1)
-        yield pd.DataFrame({"g": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for g, part in zip(batch["g"], batch["counts"]):
-                n = np.frombuffer(zlib.decompress(part), np.int32)
-                sums[g] = sums[g] + n if g in sums else n.astype(np.int64)
-        if sums:
-            yield pd.DataFrame({"g": list(sums), "counts": [zlib.compress(s.tobytes(), 1) for s in sums.values()]})
+                yield pd.DataFrame({
+                    "hash": np.asarray(row.hashes, np.int64)[found // CLASSES], "before": (found % CLASSES).astype(np.int32), "n": n})
 
-    schema = "g int, counts binary"
-    used = blocks.select("tokens", "hashes", "train", "sizes")
-    return used.mapInPandas(count, schema).repartition("g").mapInPandas(add, schema)
+    pairs = blocks.mapInPandas(count, "hash long, before int, n long").repartition("hash")
+    sums = pairs.groupBy("hash", "before").agg(F.sum("n").alias("n"))
+    return sums.groupBy("hash").agg(F.collect_list(F.struct("before", "n")).alias("w")).select(
+        "hash", F.col("w.before").alias("before"), F.col("w.n").alias("n"))
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
-    for batch in batches:
-        for g, part in zip(batch["g"], batch["counts"]):
-            yield int(g), np.frombuffer(zlib.decompress(part), np.int64).reshape(GROUP, CLASSES)
+def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each word, context and count of each entry) of a batch of profiles."""
+    sizes = batch["before"].map(len).to_numpy()
+    return np.cumsum(sizes) - sizes, np.concatenate(batch["before"].tolist()), np.concatenate(batch["n"].tolist())
 
 
-def _best(counts: np.ndarray, matrix: np.ndarray | None) -> np.ndarray:
-    """The class of each type: where its contexts are likeliest, or, at first, its most telling context."""
-    if matrix is None:
-        return np.where(counts.sum(1) > 0, np.argmax(counts, 1), 1)
+def _best(begin: np.ndarray, before: np.ndarray, n: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The class of each word: where its contexts are likeliest."""
     smooth = matrix[:, 1:] + PRIOR  # [context, class]; the class of text ends takes no words
-    fit = counts @ np.log(smooth / smooth.sum(0))
-    return 1 + np.argmax(fit, 1)
+    return 1 + np.argmax(np.add.reduceat(n[:, None] * np.log(smooth / smooth.sum(0))[before], begin), 1)
+
+
+def _telling(begin: np.ndarray, before: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first class of each word: the context that stands out most, against how common contexts are."""
+    value = n * weight[before]
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(n))))
+    top = np.lexsort((before, -value, of))[begin]
+    return np.where(value[top] > 0, before[top], 1)
+
+
+def _moved(profiles: DataFrame, choose: Callable, model: np.ndarray) -> np.ndarray:
+    """Counts [class before, class] with every word in the class that ``choose`` gives it."""
 
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            if len(batch):
+                begin, before, n = _flat(batch)
+                own = np.repeat(choose(begin, before, n, model), np.diff(np.append(begin, len(n))))
+                np.add.at(total, before * CLASSES + own, n)
+        yield pd.DataFrame({"k": np.arange(len(total)), "n": total})
+
+    return _summed(profiles.mapInPandas(move, "k int, n long"))
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    flat = np.zeros(CLASSES * CLASSES)
+    for r in parts.groupBy("k").agg(F.sum("n").alias("n")).collect():
+        flat[r["k"]] = r["n"]
+    return flat.reshape(CLASSES, CLASSES)
 
-def exchange(profiles: DataFrame, start: np.ndarray, steps: int = EXCHANGES) -> np.ndarray:
-    """Class of every word type after some rounds of moving each type to its best class.
 
-    All types move at once against the matrix of the round before; the driver holds that matrix only.
+def exchange(profiles: DataFrame, matrix: np.ndarray | None = None, steps: int = EXCHANGES) -> DataFrame:
+    """(hash, class) of every training word after some rounds of moving each word to its best class.
+
+    All words move at once against the matrix of the round before; the driver holds that matrix only.
+    Without a first ``matrix`` words start in the class of their most telling context.
     """
-    matrix: np.ndarray | None = None
-    for step in range(steps + 1):
-        last = step == steps
-
-        def move(batches: Iterator[pd.DataFrame], matrix=matrix, step=step) -> Iterator[pd.DataFrame]:
-            total = np.zeros((CLASSES, CLASSES), np.int64)
-            for g, counts in _groups(batches):
-                own = start[g * GROUP:(g + 1) * GROUP] if step == 0 else _best(counts, matrix)
-                np.add.at(total.T, own, counts)
-            yield pd.DataFrame({"k": np.arange(CLASSES * CLASSES), "n": total.reshape(-1)})
-
-        if last:
-            break
-        moved = profiles.mapInPandas(move, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        flat = np.zeros(CLASSES * CLASSES)
-        for r in moved:
-            flat[r["k"]] = r["n"]
-        matrix = flat.reshape(CLASSES, CLASSES)
+    if matrix is None:
+        common = np.ones(CLASSES)
+        for r in profiles.select(F.explode(F.arrays_zip("before", "n")).alias("w")).groupBy(
+            F.col("w.before").alias("k")
+        ).agg(F.sum("w.n").alias("n")).collect():
+            common[r["k"]] += r["n"]
+        matrix = _moved(profiles, _telling, np.where(np.arange(CLASSES) > 1, 1 / common, 0))
+    for _ in range(steps - 1):
+        matrix = _moved(profiles, _best, matrix)
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g, counts in _groups(batches):
-            yield pd.DataFrame({"g": [g], "classes": [_best(counts, matrix).astype(np.uint8).tobytes()]})
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"hash": batch["hash"], "class": _best(*_flat(batch), matrix).astype(np.int32)})
 
-    found = np.ones(TYPES, np.uint8)
-    for r in profiles.mapInPandas(final, "g int, classes binary").collect():
-        found[r["g"] * GROUP:(r["g"] + 1) * GROUP] = np.frombuffer(r["classes"], np.uint8)
-    return found
+    return profiles.mapInPandas(final, "hash long, class int")
 
 
-def transitions(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
+def attached(blocks: DataFrame, counted: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks with the classes and counts of their words (columns of CLASSED); each meets its own words only."""
+
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for row in block.itertuples():
+            own, c = np.ones(len(row.hashes), np.uint8), np.zeros(len(row.hashes), np.int64)
+            own[found["place"].to_numpy()] = found["class"].to_numpy()
+            c[found["place"].to_numpy()] = found["c"].to_numpy()
+            rows.append((row.block, row.doc_ids, row.train, row.sizes, row.tokens, row.hashes, own.tobytes(), c.tobytes()))
+        return pd.DataFrame(rows, columns=CLASSED.names)
+
+    placed = counted.where("c > 0").join(classes, "hash").select(F.expr("block + 0").alias("of"), "place", "c", "class")
+    return blocks.drop("counts").groupBy("block").cogroup(placed.groupBy("of")).applyInPandas(run, CLASSED)
+
+
+def transitions(blocks: DataFrame) -> np.ndarray:
     """Training counts [class before, class], text ends included."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for row in batch.itertuples():
-                tokens, types, train, sizes = _arrays(row)
-                seen = _sequence(classes[types][tokens].astype(np.int64), sizes, END)
+                tokens, train, sizes = _arrays(row)
+                seen = _sequence(_own(row)[tokens].astype(np.int64), sizes, END)
                 before = np.append(END, seen[:-1])
                 use = np.repeat(train, sizes + 1)
                 total += np.bincount(before[use] * CLASSES + seen[use], minlength=len(total))
         yield pd.DataFrame({"k": np.arange(len(total)), "n": total})
 
-    used = blocks.select("tokens", "hashes", "train", "sizes")
-    flat = np.zeros(CLASSES * CLASSES)
-    for r in used.mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        flat[r["k"]] = r["n"]
-    return flat.reshape(CLASSES, CLASSES)
+    return _summed(blocks.select("tokens", "train", "sizes", "own").mapInPandas(count, "k int, n long"))
+
+
+class Classes:
+    """The class of every training word, a table (hash, class); ``classes[keys]`` looks up a few words (1 if unknown)."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        key = F.col("hash").bitwiseAND(F.lit(TYPES - 1))
+        rows = self.table.where(key.isin(keys.tolist())).select(key.alias("key"), "class").collect()
+        found = {r["key"]: r["class"] for r in rows}
+        return np.array([found.get(k, 1) for k in keys.tolist()], np.int64)
 
 
 @dataclass
 class Model:
-    """Everything scoring needs besides word counts; of fixed size."""
+    """Everything scoring needs; arrays are of fixed size, words and their classes stay in tables."""
 
     tokens: int  # N, text ends included
     types: int  # V, the text end included
     ends: int
-    classes: np.ndarray
+    classes: Classes
+    blocks: DataFrame  # of CLASSED
     steps: np.ndarray  # log10 P(class | class before)
     unknown: np.ndarray  # log10 P(any unknown word | class before)
     sizes: np.ndarray  # words by class
@@ -232,56 +270,39 @@ class Model:
 
 def fit(blocks: DataFrame, counted: DataFrame) -> Model:
     """Learn classes, transitions and emissions from the training documents of ``blocks``."""
-    kind = F.pmod("hash", F.lit(TYPES)).cast("int")  # a power of two, so the sign does not matter
-    by_type = counted.where("first AND c > 0").groupBy(kind.alias("k")).agg(
-        F.sum("c").alias("n"), F.count("*").alias("v")
-    ).collect()
-    n, v = np.zeros(TYPES, np.int64), np.zeros(TYPES, np.int64)
-    for r in by_type:
-        n[r["k"]], v[r["k"]] = r["n"], r["v"]
+    words_of = counted.where("first AND c > 0").select("hash", "c")
+    total, kinds = words_of.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = blocks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
 
-    # First contexts: the most frequent types have a class each, all others share one.
-    contexts = np.ones(TYPES, np.uint8)
-    top = np.argsort(-n, kind="stable")[:CLASSES - 2]
-    contexts[top] = np.arange(2, 2 + len(top))
-    start = np.full(TYPES, 255, np.uint8)
-    for _ in range(2):
-        profiles = materialize(profile(blocks, contexts), "profile")
-        if start[0] == 255:
-            start = _seeded(profiles, contexts)
-        start = contexts = exchange(profiles, start)
-    counts = transitions(blocks, contexts)
+    # First contexts: the most frequent words have a class each, all others share one.
+    top = sorted((r["hash"], k + 2) for k, r in enumerate(words_of.orderBy(F.desc("c"), "hash").limit(CLASSES - 2).collect()))
+    keys, numbers = np.array([h for h, _ in top], np.int64), np.array([k for _, k in top], np.int64)
+
+    def first(row) -> np.ndarray:
+        hashes = np.asarray(row.hashes, np.int64)
+        if not len(keys):
+            return np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, numbers[at], 1)
+
+    used = ("tokens", "hashes", "train", "sizes")
+    profiles = materialize(profile(blocks.select(*used), first), "profile")
+    classes = materialize(exchange(profiles), "classes")
+    classed = materialize(attached(blocks, counted, classes), "classed")
+    profiles = materialize(profile(classed.select(*used, "own"), _own), "profile")
+    classes = materialize(exchange(profiles, transitions(classed)), "classes")
+    classed = materialize(attached(blocks, counted, classes), "classed")
+    counts = transitions(classed)
     step = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
-    sizes, kinds = np.bincount(contexts, n, CLASSES), np.bincount(contexts, v, CLASSES)
-    spare = np.where(sizes > 0, DISCOUNT * kinds / np.maximum(sizes, 1), 1.0)
+    sizes, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in classes.join(words_of, "hash").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        sizes[r["class"]], types[r["class"]] = r["n"], r["v"]
+    spare = np.where(sizes > 0, DISCOUNT * types / np.maximum(sizes, 1), 1.0)
     spare[END] = 0
-    return Model(int(n.sum()) + ends, int(v.sum()) + (ends > 0), ends, contexts, np.log10(step),
+    return Model(total + ends, kinds + (ends > 0), ends, Classes(classes), classed, np.log10(step),
                  np.log10(step @ spare), sizes)
 
 
-def _seeded(profiles: DataFrame, contexts: np.ndarray) -> np.ndarray:
-    """First classes: the context that stands out most for a type, against how common contexts are."""
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum((c.sum(0) for _, c in _groups(batches)), np.zeros(CLASSES, np.int64))
-        yield pd.DataFrame({"k": np.arange(CLASSES), "n": total})
-
-    common = np.ones(CLASSES)
-    for r in profiles.mapInPandas(share, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        common[r["k"]] += r["n"]
-    weight = np.where(np.arange(CLASSES) > 1, 1 / common, 0)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g, counts in _groups(batches):
-            own = np.maximum(_best(counts * weight, None), 1).astype(np.uint8)
-            yield pd.DataFrame({"g": [g], "classes": [own.tobytes()]})
-
-    found = np.ones(TYPES, np.uint8)
-    for r in profiles.mapInPandas(pick, "g int, classes binary").collect():
-        found[r["g"] * GROUP:(r["g"] + 1) * GROUP] = np.frombuffer(r["classes"], np.uint8)
-    return found
-
-
 SCORES = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("held_out", T.BooleanType()),
@@ -294,16 +315,17 @@ SCORES = T.StructType([
 ])
 
 
-def score(blocks: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
-    """Scores of all documents of ``blocks``; each block meets the counts of its own words only."""
+def score(model: Model) -> DataFrame:
+    """Scores of all documents of the model's blocks, those to learn from and the others."""
 
-    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    blocks = model.blocks.drop("block", "hashes")
+    model = replace(model, classes=None, blocks=None)
+
+    def scored(block: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in block.itertuples():
-            tokens, types, train, sizes = _arrays(row)
-            c = np.zeros(len(types), np.int64)
-            c[found["place"].to_numpy()] = found["c"].to_numpy()
-            own = model.classes[types].astype(np.int64)
+            tokens, train, sizes = _arrays(row)
+            c, own = np.frombuffer(row.c, np.int64), _own(row).astype(np.int64)
             known = c > 0
             emitted = np.log10(np.where(known, c - DISCOUNT, 1) / np.where(known, np.maximum(model.sizes[own], 1), 1))
             seen = _sequence(np.where(known, own, -1)[tokens], sizes, END)
@@ -329,7 +351,10 @@ def score(blocks: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
             }))
         return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(columns=SCORES.names)
 
-    return blocks.groupBy("block").cogroup(counted.select("block", "place", "c").groupBy("block")).applyInPandas(run, SCORES)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(scored, batches)
+
+    return blocks.mapInPandas(run, SCORES)
 
 
 def score_documents(docs: DataFrame, train: Column) -> DataFrame:
@@ -343,4 +368,4 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """
     blocks = materialize(to_blocks(docs, train), "blocks")
     counted = materialize(counted_words(blocks), "counted")
-    return score(blocks, counted, fit(blocks, counted))
+    return score(fit(blocks, counted))

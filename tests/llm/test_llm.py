@@ -254,6 +254,31 @@ def test_language_model_is_a_distribution(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_classes_belong_to_words(spark):
+    """Words whose hashes agree modulo 65,536 have classes by what is before them, not by each other."""
+    names = ["w%d" % k for k in range(3000)]
+    raw = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(n) for n in names])
+    of = words.hash_spans(raw, ends - [len(n) for n in names], ends) % np.uint64(1 << 16)
+    by = collections.defaultdict(list)
+    for name, h in zip(names, of.tolist()):
+        by[h].append(name)
+    pairs = [p[:2] for p in by.values() if len(p) > 1]
+    assert len(pairs) >= 10
+    texts = [" ".join(f"after{k % 2} {p[k % 2]}" for p in pairs for _ in range(5)) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks = brown_lm.to_blocks(docs, F.lit(True))
+    model = brown_lm.fit(blocks, brown_lm.counted_words(blocks))
+
+    def classes(side):
+        own = [n[side].encode() for n in pairs]
+        e = np.cumsum([len(n) for n in own])
+        h = words.hash_spans(np.frombuffer(b"".join(own), np.uint8), e - [len(n) for n in own], e)
+        return model.classes[np.array([int(x) % brown_lm.TYPES for x in h.view(np.int64)])]
+
+    assert not set(classes(0).tolist()) & set(classes(1).tolist())
+
+
 # --- near duplicates --------------------------------------------------------
 
 
