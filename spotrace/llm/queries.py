@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotrace.llm import brown_lm, byte_bpe, embedding_dedup, html_extract, near_dedup, packing, quality_gam, quality_rules, substring_dedup, url_filter
+from spotrace.llm import (
+    brown_lm, byte_bpe, embedding_dedup, harmonic_packing, html_extract, near_dedup, packing, quality_gam, quality_rules,
+    substring_dedup, url_filter,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -106,3 +109,9 @@ def op4_near_dedup(spark, sf):
 @query()
 def op8_substring_dedup(spark, sf):
     return substring_dedup.duplicate_passages(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query()
+def op11_harmonic_packing(spark, sf):
+    docs = table(spark, sf, "documents")
+    return harmonic_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), keep_ids=False)
