@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotrace.llm import (
-    brown_lm, byte_bpe, embedding_dedup, harmonic_packing, html_extract, near_dedup, packing, quality_gam, quality_rules,
+    brown_lm, byte_bpe, conversation_repair, embedding_dedup, harmonic_packing, html_extract, near_dedup, packing, quality_gam, quality_rules,
     substring_dedup, url_filter,
 )
 
@@ -115,3 +115,8 @@ def op8_substring_dedup(spark, sf):
 def op11_harmonic_packing(spark, sf):
     docs = table(spark, sf, "documents")
     return harmonic_packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), keep_ids=False)
+
+
+@query()
+def op13_conversation_repair(spark, sf):
+    return conversation_repair.damage_and_repair(table(spark, sf, "conversations"))
