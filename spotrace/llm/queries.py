@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotrace.llm import (
-    brown_lm, byte_bpe, conversation_repair, embedding_dedup, harmonic_packing, html_extract, near_dedup, packing, quality_gam, quality_rules,
+    brown_lm, byte_bpe, collocations, conversation_repair, embedding_dedup, harmonic_packing, html_extract, near_dedup, packing, quality_gam, quality_rules,
     substring_dedup, url_filter,
 )
 
@@ -120,3 +120,43 @@ def op11_harmonic_packing(spark, sf):
 @query()
 def op13_conversation_repair(spark, sf):
     return conversation_repair.damage_and_repair(table(spark, sf, "conversations"))
+
+
+@query("""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda s: array_to_string(ws[s:s + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)
+),
+c AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+parts AS (
+  SELECT lang, phrase, m, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS tail
+  FROM c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < m
+),
+cuts AS (
+  SELECT x.lang, x.phrase, x.a, k, h.a AS l, t.a AS r, (2000000::HUGEINT * x.a) // (h.a + t.a) AS score
+  FROM parts x JOIN c h ON x.lang = h.lang AND x.head = h.phrase JOIN c t ON x.lang = t.lang AND x.tail = t.phrase
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_runs AS (
+  SELECT lang, a, unnest(list_transform(range(1, m - j + 2), lambda s: array_to_string(string_split(phrase, ' ')[s:s + j - 1], ' '))) AS phrase
+  FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < m
+),
+around AS (SELECT lang, phrase, max(a) AS most FROM inner_runs GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN around o ON b.lang = o.lang AND b.phrase = o.phrase
+  WHERE o.most IS NULL OR 100 * o.most < 80 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op12_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))

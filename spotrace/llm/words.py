@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Masks for the first n of eight bytes.
-_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BLOCK = 1_000_000
 
 IS_WORD = np.ones(256, bool)
@@ -63,7 +63,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             value = eight[np.repeat(starts[s:e], n) + 8 * place]
             left = np.minimum(np.repeat(size, n) - 8 * place, 8)
             place = place.astype(np.uint64)
-        value = value & _FIRST_BYTES[np.minimum(left, 8)]
+        value = value & FIRST_BYTES[np.minimum(left, 8)]
         value = mix(value + (place + np.uint64(1)) * _BASE)
         if value.shape != n.shape:
             value = np.add.reduceat(value, at)
