@@ -45,7 +45,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`materialize` has stored, once nothing reads them any more.
+
+    Then lets the driver drop what it no longer refers to, so that the shuffle files of finished steps go too.
+    """
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(conf).delete(there, True)
+            del df.stored_at
+            jvm.System.gc()
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
