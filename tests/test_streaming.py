@@ -99,3 +99,35 @@ def test_a_later_recording_with_start_times(arriving, make, tmp_path):
     (tmp_path / "boxes").mkdir()
     seen = run(streams.box_intensity_stream(pixels, boxes, manifest).drop("acquired_at"), "update", tmp_path / "boxes")
     assert {tuple(r) for part in seen for r in part} == {tuple(r) for r in images.box_intensity(rows, boxes).collect()}
+
+
+def test_complete_frames_in_any_order(spark, arriving, make, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    cells = [(d, f, y, x, float(d * 1000 + f * 100 + y * 10 + x)) for d in (0, 1) for f in (1, 2, 3) for y in range(4) for x in range(5)]
+    early = [c for c in cells if c[0] == 1]  # a recording that is filled in before the other, backwards
+    rng.shuffle(early)
+    late = sorted((c for c in cells if c[0] == 0), reverse=True)
+    batches = [early[:25], early[25:] + late[:7], late[7:], [(1, 2, 0, 0, -1.0), (0, 9, 1, 1, 5.0), (0, 9, 1, 1, 6.0), (0, 9, 4, 0, 7.0), (0, 9, -1, 0, 8.0)]]
+    streams.use_list_store(spark)
+    seen = run(streams.complete_frames(arriving(batches, PIXEL_SCHEMA), 4, 5), "append", tmp_path)
+    rows = make([r for part in seen for r in part], streams.COMPLETED)
+    got = {(r["datum"], r["frame"]): r["pixels"] for r in streams.completed(rows).collect()}
+    want = {(r["datum"], r["frame"]): r["pixels"] for r in images.pack_frames(make(cells, PIXEL_SCHEMA), 4, 5).collect()}
+    assert got == want and streams.completed(rows).count() == len(want)
+    beside = sorted(tuple(r) for r in streams.beside_table(rows).collect())
+    assert beside == [
+        (0, 9, -1, 0, 8.0, "outside"), (0, 9, 1, 1, 6.0, "repeated"), (0, 9, 4, 0, 7.0, "outside"), (1, 2, 0, 0, -1.0, "late"),
+    ]
+
+
+def test_frame_state_survives_a_restart(spark, arriving, make, tmp_path):
+    """A query that is started anew goes on with the pixels it had."""
+    cells = [(0, 1, y, x, float(y * 5 + x)) for y in range(4) for x in range(5)]
+    streams.use_list_store(spark)
+    pixels = arriving([cells[:9]], PIXEL_SCHEMA)
+    assert sum(len(part) for part in run(streams.complete_frames(pixels, 4, 5), "append", tmp_path)) == 0
+    spark.createDataFrame(cells[9:], PIXEL_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = [r for part in run(streams.complete_frames(pixels, 4, 5), "append", tmp_path) for r in part]
+    assert [list(r["pixels"]) for r in seen] == [[float(k) for k in range(20)]]
