@@ -15,12 +15,12 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.llm import words
-from spotrace.session import materialize
+from spotrace.session import materialize, release
 
 TYPES = 1 << 63  # keys of words in the class map: their hashes without the sign
 CLASSES = 64
@@ -92,15 +92,13 @@ def to_blocks(docs: DataFrame, train: Column) -> DataFrame:
 def counted_words(blocks: DataFrame) -> DataFrame:
     """(block, place, hash, c, first): every block's words with their training counts in all blocks.
 
-    A word comes at most once from a block, so a hot word is no hot key.
+    A word comes at most once from a block.
     """
-    each = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("place", "w"))
-    word = Window.partitionBy("hash")
-    return each.select("block", "place", F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n")).select(
-        "block", "place", "hash",
-        F.sum("n").over(word).alias("c"),
-        (F.row_number().over(word.orderBy("block")) == 1).alias("first"),
-    )
+    each = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("place", "w")).select(
+        "block", "place", F.col("w.hashes").alias("hash"), F.col("w.counts").alias("n"))
+    # Counts are summed before they meet, and a join may split what a hot word's blocks need.
+    sums = each.groupBy("hash").agg(F.sum("n").alias("c"), F.min("block").alias("earliest"))
+    return each.join(sums, "hash").select("block", "place", "hash", "c", (F.col("block") == F.col("earliest")).alias("first"))
 
 
 def _arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +131,7 @@ def profile(blocks: DataFrame, classes: Callable) -> DataFrame:
                 yield pd.DataFrame({
                     "hash": np.asarray(row.hashes, np.int64)[found // CLASSES], "before": (found % CLASSES).astype(np.int32), "n": n})
 
-    pairs = blocks.mapInPandas(count, "hash long, before int, n long").repartition("hash")
+    pairs = blocks.mapInPandas(count, "hash long, before int, n long")
     sums = pairs.groupBy("hash", "before").agg(F.sum("n").alias("n"))
     return sums.groupBy("hash").agg(F.collect_list(F.struct("before", "n")).alias("w")).select(
         "hash", F.col("w.before").alias("before"), F.col("w.n").alias("n"))
@@ -261,7 +259,7 @@ class Model:
     classes: Classes
     blocks: DataFrame  # of CLASSED
     steps: np.ndarray  # log10 P(class | class before)
-    unknown: np.ndarray  # log10 P(any unknown word | class before)
+    unknown: np.ndarray  # log10 P(a certain unknown word | class before)
     sizes: np.ndarray  # words by class
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -289,8 +287,10 @@ def fit(blocks: DataFrame, counted: DataFrame) -> Model:
     profiles = materialize(profile(blocks.select(*used), first), "profile")
     classes = materialize(exchange(profiles), "classes")
     classed = materialize(attached(blocks, counted, classes), "classed")
+    release(profiles, classes)
     profiles = materialize(profile(classed.select(*used, "own"), _own), "profile")
     classes = materialize(exchange(profiles, transitions(classed)), "classes")
+    release(profiles, classed)
     classed = materialize(attached(blocks, counted, classes), "classed")
     counts = transitions(classed)
     step = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
@@ -300,7 +300,7 @@ def fit(blocks: DataFrame, counted: DataFrame) -> Model:
     spare = np.where(sizes > 0, DISCOUNT * types / np.maximum(sizes, 1), 1.0)
     spare[END] = 0
     return Model(total + ends, kinds + (ends > 0), ends, Classes(classes), classed, np.log10(step),
-                 np.log10(step @ spare), sizes)
+                 np.log10(step @ spare / max(kinds, 1)), sizes)
 
 
 SCORES = T.StructType([
@@ -361,8 +361,9 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """Train on the rows marked by ``train`` and score all.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with one added),
-    score (log10 probability under the class model) and perplexity.  Both models spread their probability
-    over the training words, the text end and one entry for all unknown words.  A null text is
+    score (log10 probability under the class model) and perplexity.  The base model spreads its probability over the
+    training words, the text end and one entry for all unknown words; the class model takes it that
+    there are as many unseen words as seen ones, each as likely.  A null text is
     empty and scores its end alone; repeated rows are scored as often as they come; other
     columns are not read; without training rows both scores are 0, an empty table gives no rows.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotrace.session import materialize
+from spotrace.session import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,16 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge to another.
 
-    Each round is written to the shared folder.  Null ends and loops are left out; a hub is never gathered:
+    Each round is written to the shared folder and the one before deleted.  Null ends and loops are left out; a hub is never gathered:
     its edges are met by partial minima and by a join that can be split.
     """
     known = edges.where(F.col(a) != F.col(b))
     current = materialize(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(current)
     while state[0]:
-        current = materialize(_small_star(_large_star(current)), "edges")
+        earlier, current = current, materialize(_small_star(_large_star(current)), "edges")
         before, state = state, _state(current)
+        release(earlier)
         if before == state:
             break
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

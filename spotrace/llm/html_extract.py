@@ -36,7 +36,9 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg iframe object head title textarea select button math canvas".split())
+SKIPPED = frozenset("script style template svg iframe head title textarea select canvas".split())
+# What may stand in a head; anything else ends it, also where its end tag is left out (fixed values).
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -46,7 +48,8 @@ CLOSES_SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td":
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+[^\s\"'<>][^\s<>]*+|\"[^\"]*+\"|'[^']*+'|[^<>\"'=]|=)*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+>"  # quotes that do not close
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -94,11 +97,11 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
-        name = m[3]
+        name, marked = m[3] or m[6], m[4] or ""
         if name is None:
             continue
         name = name.lower()
-        if m[2]:
+        if m[2] or m[5]:
             place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if name not in INLINE:
                 close()
@@ -117,13 +120,13 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE and not (name in CLOSES_SAME and stack[k][0] == "p"):
                     break
-            if name == "body":
-                pop(next((k for k, s in enumerate(stack) if s[0] == "head"), len(stack)))
-        if name in VOID or m[4].endswith("/") and name not in INLINE and name in SKIPPED:
+        if name not in IN_HEAD and any(s[0] == "head" for s in stack):
+            pop(next(k for k, s in enumerate(stack) if s[0] == "head"))
+        if name in VOID or marked.endswith("/") and name not in INLINE and name in SKIPPED:
             continue
         label = name
-        if m[4]:
-            marks = [a or b or c for a, b, c in _NAMES.findall(m[4])]
+        if marked:
+            marks = [a or b or c for a, b, c in _NAMES.findall(marked)]
             label = " ".join([name, *" ".join(marks).lower().split()])
         stack.append((name, label))
         skipped += name in SKIPPED

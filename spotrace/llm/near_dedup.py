@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.llm import graph, words
-from spotrace.session import materialize
+from spotrace.session import materialize, release
 
 WIDTH = 5
 PERCENT = 75
@@ -267,17 +267,22 @@ def link_groups(sketched: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     candidates = materialize(
         found.join(reps.select(F.col("id").alias("doc_id"), "registers"), "doc_id"), "candidates")
     groups: DataFrame | None = None
+    earlier: DataFrame | None = None
     finer = False
     left = materialize(members.select("bucket", "id").join(degrees, "id").withColumn("g", F.col("id")), "left")
     pivots = materialize(_few(left), "pivots")
     while not pivots.isEmpty():
         links = materialize(verified(_pairs(left, pivots), candidates, percent), "links")
+        known = links
         if groups is not None:
-            links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = graph.components(links, "a", "b")
+            known = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = materialize(graph.components(known, "a", "b"), "groups")
+        release(links, earlier)
+        earlier = groups
         asked = pivots.select("bucket", F.col("pivot").alias("id"))
         unasked = left.select("bucket", "id", "degree").join(asked, ["bucket", "id"], "left_anti")
-        left = materialize(_grouped(unasked, groups), "left")
+        asked_in, left = left, materialize(_grouped(unasked, groups), "left")
+        release(asked_in, pivots)
         shares = materialize(_shares(left), "shares")
         if shares.isEmpty():
             break
@@ -293,6 +298,7 @@ def link_groups(sketched: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
                 crowded.select("bucket", "id", "degree", "g"))
             finer = True
         pivots = materialize(outside.union(_few(crowded)), "pivots")
+    release(left, members, candidates)
     component = F.col("id") if groups is None else F.coalesce("component", "id")
     named = reps if groups is None else reps.join(groups, reps["id"] == groups["node"], "left")
     return named.select(*shape, component.alias("component_id"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.llm import words
-from spotrace.session import is_small, materialize
+from spotrace.session import is_small, materialize, release
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -287,9 +287,8 @@ def _refined(a: np.ndarray, b: np.ndarray, i: int, j: int, key: int) -> list[int
 FOUND = T.StructType([*SPANS.fields, *PARTED.fields])
 
 
-def _verified(docs: DataFrame, stretches: DataFrame, least: int, percent: int) -> DataFrame:
+def _verified(cut: DataFrame, stretches: DataFrame, least: int, percent: int) -> DataFrame:
     """Passages found (columns of SPANS), and the windows to try again under finer keys (columns of PARTED)."""
-    cut = materialize(_cut(docs, stretches), "cut")
     one = cut.withColumnRenamed("shingles", "a")
     two = cut.select(F.col("doc").alias("other"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("shingles").alias("b"))
     joined = stretches.join(one, ["doc", "lo", "hi"]).join(two, ["other", "plo", "phi"])
@@ -356,14 +355,19 @@ def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         made = materialize(windows(docs, k, min_words), "windows")
         shared = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         met.append(materialize(_met(_parted(made.join(shared, "key")), least), "met"))
+        release(made)
     left = reduce(DataFrame.union, met)
     parts: list[DataFrame] = []
     while True:
         stretches = materialize(_stretches(left), "stretches")
+        release(*met)
         if stretches.isEmpty():
             break
-        found = materialize(_verified(docs, stretches, least, percent), "found")
-        parts.append(found.where("doc_id IS NOT NULL").select(*SPANS.names))
+        cut = materialize(_cut(docs, stretches), "cut")
+        found = materialize(_verified(cut, stretches, least, percent), "found")
+        release(cut, stretches)
+        parts.append(materialize(found.where("doc_id IS NOT NULL").select(*SPANS.names), "spans"))
+        met = [found]
         left = _met(found.where("key IS NOT NULL").select(*PARTED.names).distinct(), least)
     if not parts:
         return docs.sparkSession.createDataFrame([], SPANS)

@@ -147,7 +147,6 @@ def test_packed_documents(odd, no_docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(odd, JSON).collect()
     by_doc = collections.defaultdict(list)
     for r in got:
@@ -250,7 +249,8 @@ def test_language_model_is_a_distribution(spark):
     emitted = np.array([c - brown_lm.DISCOUNT for _, c in word]) / model.sizes[own]
     for before in (0, 1, int(own[0])):
         step = 10 ** model.steps[before]
-        total = (step[own] * emitted).sum() + step[brown_lm.END] + 10 ** model.unknown[before]
+        # As many unseen words as seen ones share what is left.
+        total = (step[own] * emitted).sum() + step[brown_lm.END] + len(word) * 10 ** model.unknown[before]
         assert abs(total - 1) < 1e-9
 
 
@@ -578,3 +578,42 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(texts)
     assert sum(r["length"] for r in out) == sum(len(r["ids"]) // 4 for r in out)
+
+
+def thue_morse(n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_regular_patterns_do_not_collide(spark):
+    one, two = thue_morse(4096)
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    h = words.hash_spans(raw, np.array([0, 4096]), np.array([4096, 8192]))
+    assert h[0] != h[1]
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["decoded_sha256"] for r in byte_bpe.round_trip_digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in ((1, one), (2, two))}
+    crcs = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs, JSON, limit=8192).collect()}
+    assert crcs[1] != crcs[2]
+    assert near_dedup.deduplicate(docs).where("kept").count() == 2
+
+
+def test_unknown_words_score_below_prose(spark):
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choices("qxzjkv", k=7)) for _ in range(60)) for _ in range(5)]
+    rows = [(k, prose(k // 2, 60)) for k in range(60)] + [(100 + k, t) for k, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] / r["n_tokens"] for r in brown_lm.score_documents(docs, F.col("doc_id") < 100).collect()}
+    assert max(v for k, v in scores.items() if k >= 100) < min(v for k, v in scores.items() if k < 100)
+
+
+def test_pages_without_a_head_end_and_broken_attributes():
+    def texts(page):
+        return [b.text for b in html_extract.blocks_of(page)]
+
+    assert texts("<html><head><title>t</title><article><p>One two.</p></article>") == ["One two."]
+    assert texts("<html><head><meta charset=x><p>One</p></html>") == ["One"]
+    assert texts("<body><p data-x=it's>Text</p><p title=\"a'b\">more</p>") == ["Text", "more"]
+    assert texts("<p \"open>Text</p>") == ["Text"]
+    assert texts("<article><p>a <math><mi>x</mi></math></p><object>b</object><noscript>c</noscript></article>") == ["a x", "b", "c"] or \
+        " ".join(texts("<article><p>a <math><mi>x</mi></math></p><object>b</object><noscript>c</noscript></article>")).split() == ["a", "x", "b", "c"]
