@@ -7,21 +7,27 @@ cost matrix.  The search runs in three steps:
 1. one scan, one exchange and one sort of the samples serve running sums,
    gradient, trend gradient, score, peak test and the sums of each chunk;
 2. the few surviving rows (at most one peak per ``width / 2`` frames, plus the
-   border scores for the circular test) are gathered per (trace, chunk), and
-   chunk rows get the statistics of their trace;
+   border scores for the circular test) are gathered and stored per (trace,
+   chunk), and chunk rows get the statistics of their trace, of which only a
+   narrow row per chunk meets the others;
 3. acceptance.  Candidates are taken from the highest score down and the first
    one that gains too little ends the search.  A candidate splits the segment
    between the nearest *higher* candidates on both sides, so the gains follow
    without any sequential pass, and "stop at the first failure" is the highest
-   failing candidate per trace, a plain maximum.
+   failing candidate per trace, a plain maximum.  Nearest higher candidates
+   come from one pass with a stack inside a chunk and, across chunks, from a
+   tree of chunk maxima with 64 children a node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spotrace.functions.chunks import (
     CHUNK_BITS,
@@ -42,7 +48,10 @@ from spotrace.model import (
 )
 from spotrace.operators.ranking import bucketed_row_number
 from spotrace.operators.series import trend_gradient_of
-from spotrace.session import broadcast_if_small, materialize
+from spotrace.session import broadcast_if_small, materialize, release
+
+# A node of the tree of chunk maxima has 2 ** TREE_BITS children.
+TREE_BITS = 6
 
 
 def _peak_order(width: int) -> int:
@@ -136,7 +145,9 @@ def _peak_blocks(
     ends = F.flatten(
         F.collect_list(F.when(F.size("border") > 0, F.col("border"))).over(whole_trace(keys))
     )
-    blocks = trace_totals(per_chunk, keys, "peaks", ends.alias("ends"))
+    stored = materialize(per_chunk, "chunks")
+    totals = trace_totals(stored.drop("peaks"), keys, ends.alias("ends"))
+    blocks = attach_stats(stored.select(*keys, "chunk", "peaks"), totals, keys)
     n = F.col("n")
     m = n - 2 * half
 
@@ -157,10 +168,12 @@ def _peak_blocks(
             c["rising"].alias("rising"), c["trend_ok"].alias("trend_ok"),
         )
 
-    return blocks.filter((m > order) & (F.col("var_samp") > 0)).select(
+    out = blocks.filter((m > order) & (F.col("var_samp") > 0)).select(
         *keys, "chunk", "n", "var_samp",
         F.transform(F.filter("peaks", lambda c: ~beaten_around(c)), centred).alias("peaks"),
     )
+    out.stored_at = stored.stored_at  # for who reads the blocks for the last time
+    return out
 
 
 def changepoint_peaks(
@@ -178,41 +191,55 @@ def changepoint_peaks(
     )
 
 
-def _outranks(a: Column, b: Column) -> Column:
-    """Whether peak ``a`` is tried before peak ``b``: higher score, ties to the later frame."""
-    return (a["d2"] > b["d2"]) | ((a["d2"] == b["d2"]) & (a["frame"] > b["frame"]))
+_SIDES = T.ArrayType(T.StructType([T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())]))
 
 
-def _place(c: Column) -> Column:
-    return F.struct(c["frame"].alias("frame"), c["s"].alias("s"))
+@F.pandas_udf(_SIDES)
+def _nearest_higher(scores: pd.Series) -> pd.Series:
+    """For each score of an array, the nearest place to the left with more and to the right with as much; -1 without.
+
+    One pass with a stack of the scores that nothing behind them has reached yet.  Ties thus go to the later one.
+    """
+    out = []
+    for held in scores:
+        values = [] if held is None else held.tolist()
+        left, right, stack = [-1] * len(values), [-1] * len(values), []
+        for i, v in enumerate(values):
+            while stack and values[stack[-1]] <= v:
+                right[stack.pop()] = i
+            if stack:
+                left[i] = stack[-1]
+            stack.append(i)
+        out.append([{"left": a, "right": b} for a, b in zip(left, right)])
+    return pd.Series(out)
 
 
-def _lookup(side: str, array: str, c: Column) -> Column:
-    """Position of the nearest peak in ``array`` that is tried before ``c``."""
-    if side == "left":
-        found = F.filter(array, lambda o: (o["frame"] < c["frame"]) & _outranks(o, c))
-        return F.array_max(F.transform(found, _place))
-    found = F.filter(array, lambda o: (o["frame"] > c["frame"]) & _outranks(o, c))
-    return F.array_min(F.transform(found, _place))
+def _place(c: Column) -> Column:
+    return F.struct(c["frame"].alias("frame"), c["s"].alias("s"))
 
 
 def _located(blocks: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
     """One row per peak with the nearest higher peaks of its chunk as ``left`` and ``right``.
 
     A side without any is the end of the trace, or NULL when the trace goes on
-    in another chunk.
+    in another chunk.  ``first_in`` and ``last_in`` tell who has none before or behind it in its chunk.
     """
-    chunk, n, c = F.col("chunk"), F.col("n"), F.col("c")
+    chunk, n = F.col("chunk"), F.col("n")
     zero = F.lit(0.0).alias("s")
     origin = F.when(chunk == 0, F.struct(F.lit(0).alias("frame"), zero))
     # Prefix sums are centred on the trace mean, so the last one is zero.
     end = F.when(chunk == chunk_of("n", bits), F.struct(n.alias("frame"), zero))
-    return blocks.select(
-        *keys, "chunk", "n", "var_samp", "peaks", F.explode("peaks").alias("c")
-    ).select(
-        *keys, "chunk", "n", "var_samp", "c.*",
-        F.coalesce(_lookup("left", "peaks", c), origin).alias("left"),
-        F.coalesce(_lookup("right", "peaks", c), end).alias("right"),
+    near = blocks.withColumn("near", _nearest_higher(F.col("peaks.d2")))
+
+    def higher(side: Column) -> Column:
+        return F.when(side >= 0, _place(F.element_at("peaks", F.greatest(side, F.lit(0)) + 1)))
+
+    paired = F.transform(F.arrays_zip("peaks", "near"), lambda z: F.struct(
+        z["peaks"].alias("c"), higher(z["near"]["left"]).alias("left"), higher(z["near"]["right"]).alias("right")))
+    return near.select(*keys, "chunk", "n", "var_samp", F.explode(paired).alias("p")).select(
+        *keys, "chunk", "n", "var_samp", "p.c.*",
+        F.coalesce("p.left", origin).alias("left"), F.coalesce("p.right", end).alias("right"),
+        F.col("p.left").isNull().alias("first_in"), F.col("p.right").isNull().alias("last_in"),
     )
 
 
@@ -247,14 +274,15 @@ def _accept(blocks: DataFrame, keys: Sequence[str], penalty: float, bits: int) -
     ``_close`` unless a failing candidate above them has settled the matter.
     """
     located = materialize(_located(blocks, keys, bits), "peaks")
+    release(blocks)
     longest = located.agg(F.max("n")).first()[0] or 0
     if longest > (1 << bits):
         is_open = F.col("left").isNull() | F.col("right").isNull()
         done = _with_gain(located.filter(~is_open))
         left_over = _above_cut(located.filter(is_open), _cuts(done, keys, penalty), keys)
         long_traces = located.filter(F.col("n") > (1 << bits))
-        closed = materialize(_with_gain(_close(left_over, long_traces, keys)), "closed")
-        scored = done.unionByName(closed)
+        last_chunk = (longest - 1) >> bits
+        scored = done.unionByName(_with_gain(_close(left_over, long_traces, keys, last_chunk)))
     else:
         scored = _with_gain(located)
     return _above_cut(scored, _cuts(scored, keys, penalty), keys).select(
@@ -262,41 +290,74 @@ def _accept(blocks: DataFrame, keys: Sequence[str], penalty: float, bits: int) -
     )
 
 
-def _close(rows: DataFrame, peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _tree(peaks: DataFrame, keys: Sequence[str], last_chunk: int) -> list[DataFrame]:
+    """Levels of (keys, group, children): the highest peak below each of up to 64 nodes; chunks are the lowest nodes."""
+    top = materialize(
+        peaks.groupBy(*keys, F.col("chunk").alias("node")).agg(F.max(F.struct("d2", "frame")).alias("top")), "tops")
+    levels = []
+    while not levels or last_chunk >> TREE_BITS * len(levels):
+        levels.append(top.groupBy(*keys, F.shiftright("node", TREE_BITS).alias("group")).agg(
+            F.collect_list(F.struct("node", "top")).alias("children")))
+        top = levels[-1].select(*keys, F.col("group").alias("node"), F.array_max("children.top").alias("top"))
+    return levels
+
+
+def _nearest_chunk(rows: DataFrame, side: str, tree: list[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Rows with ``there``, the nearest chunk on this side with something higher, NULL without one.
+
+    A row climbs until a node beside its own holds something higher, then goes down to the nearest such chunk.
+    Every step is a join on (trace, node), so a trace is spread over its nodes.
+    """
+    mine, columns = F.struct("d2", "frame"), rows.columns
+
+    def pick(beside: Column | None) -> Column:
+        def fits(c: Column) -> Column:
+            higher = c["top"] > mine
+            if beside is None:
+                return higher
+            return higher & ((c["node"] < beside) if side == "left" else (c["node"] > beside))
+
+        nodes = F.transform(F.filter("children", fits), lambda c: c["node"])
+        return F.array_max(nodes) if side == "left" else F.array_min(nodes)
+
+    def step(df: DataFrame, level: DataFrame, group: Column, beside: Column | None, kept: list[str]) -> DataFrame:
+        at = df.withColumn("group", group)
+        return at.join(level, [*keys, "group"], "left").select(*columns, *kept, pick(beside).alias("there"))
+
+    found, todo = [], rows.withColumn("at", F.col("chunk"))
+    for height, level in enumerate(tree):
+        looked = step(todo, level, F.shiftright("at", TREE_BITS), F.col("at"), ["at"])
+        hit = looked.filter("there IS NOT NULL").drop("at")
+        for lower in reversed(tree[:height]):
+            hit = step(hit, lower, F.col("there"), None, [])
+        found.append(hit)
+        todo = looked.filter("there IS NULL").drop("there").withColumn("at", F.shiftright("at", TREE_BITS))
+    found.append(todo.select(*columns, F.lit(None).cast("int").alias("there")))
+    return reduce(DataFrame.union, found)
+
+
+def _close(rows: DataFrame, peaks: DataFrame, keys: Sequence[str], last_chunk: int) -> DataFrame:
     """Find the missing neighbours of candidates that stand out in their own chunk.
 
-    Each one looks up, in the per-trace ladder of chunk maxima, the nearest chunk
-    with something higher, and then the nearest higher candidate in that chunk.
-    A ladder has one entry per chunk and a chunk a bounded number of peaks.
+    The tree of chunk maxima gives the nearest chunk with something higher; the nearest higher candidate there
+    is, seen from this side, one that nothing in its chunk hides.
     """
-    chunk, mine = F.col("chunk"), F.struct("d2", "frame")
-    chunks = peaks.groupBy(*keys, "chunk").agg(
-        F.collect_list(F.struct("frame", "d2", "s")).alias("there")
-    )
-    ladder = peaks.groupBy(*keys, "chunk").agg(F.max(mine).alias("top")).groupBy(*keys).agg(
-        F.collect_list(F.struct("chunk", "top")).alias("ladder")
-    )
-    rungs = {
-        "left": F.array_max(F.transform(
-            F.filter("ladder", lambda r: (r["chunk"] < chunk) & (r["top"] > mine)),
-            lambda r: r["chunk"])),
-        "right": F.array_min(F.transform(
-            F.filter("ladder", lambda r: (r["chunk"] > chunk) & (r["top"] > mine)),
-            lambda r: r["chunk"])),
-    }
+    tree = _tree(peaks, keys, last_chunk)
+    me = F.struct("d2", "frame")
     beyond = {"left": F.lit(0), "right": F.col("n")}
-    found = rows.join(ladder, list(keys)).select(
-        *rows.columns, *[F.when(F.col(side).isNull(), rung).alias(f"{side}_chunk")
-                         for side, rung in rungs.items()],
-    )
-    me = F.struct("frame", "d2")
+    seen = {"left": "last_in", "right": "first_in"}  # seen from the right, a chunk shows who is last in it
+    found = rows
     for side in ("left", "right"):
-        there = chunks.select(*keys, F.col("chunk").alias(f"{side}_chunk"), "there")
+        is_open = F.col(side).isNull()
+        placed = _nearest_chunk(found.filter(is_open), side, tree, keys)
+        shown = peaks.filter(seen[side]).groupBy(*keys, F.col("chunk").alias("there")).agg(
+            F.collect_list(F.struct("frame", "d2", "s")).alias("shown"))
+        higher = F.transform(F.filter("shown", lambda o: F.struct(o["d2"], o["frame"]) > me), _place)
+        nearest = F.array_max(higher) if side == "left" else F.array_min(higher)
         outside = F.struct(beyond[side].alias("frame"), F.lit(0.0).alias("s"))
-        found = found.join(there, [*keys, f"{side}_chunk"], "left").withColumn(
-            side, F.coalesce(F.col(side), _lookup(side, "there", me), outside)
-        ).drop("there")
-    return found.select(*rows.columns)
+        met = placed.join(shown, [*keys, "there"], "left").withColumn(side, F.coalesce(nearest, outside))
+        found = materialize(found.filter(~is_open).select(*rows.columns).union(met.select(*rows.columns)), "closed")
+    return found
 
 
 def accepted_breakpoints(
