@@ -2,8 +2,9 @@
 
 ``pixels(datum, frame, y, x, v)`` is the relational form and ``frames(datum,
 frame, height, width, pixels)`` the packed one, with a frame as one array in
-row order.  A frame has a fixed, bounded size, so per-frame and per-projection
-numpy code works on bounded groups; everything else is joins and aggregates.
+row order.  A frame has a fixed, bounded size, so per-frame numpy code works on
+bounded groups.  Projections are cut into tiles with a border, so that one
+recording keeps many tasks busy; everything else is joins and aggregates.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ LAST_STEP = 13
 
 # Partial images a task holds before it hands them on (8 MB each at full size).
 HELD_IMAGES = 16
+# Side of the square tiles that projections are cut into.
+TILE = 256
+# Parts that the frames of a recording are dealt to where its boxes are not broadcast.
+FRAME_PARTS = 32
 # Boxes are broadcast up to this many rows.
 BROADCAST_BOXES = 200_000
 BROADCAST_CELL_BOXES = 2_000
@@ -225,36 +230,57 @@ def box_intensity(
     )
 
 
+def summed_area(image: np.ndarray) -> np.ndarray:
+    """Sums of all pixels above and to the left: one row and one column larger than the image."""
+    out = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
+    np.cumsum(np.cumsum(image, 0), 1, out=out[1:, 1:])
+    return out
+
+
+def box_sums(image: np.ndarray, x0: np.ndarray, y0: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Sum over the part of each square box inside the image, by four look-ups; NaN without any."""
+    area = summed_area(image)
+    top, left = np.maximum(y0, 0), np.maximum(x0, 0)
+    bottom, right = np.minimum(y0 + width, image.shape[0]), np.minimum(x0 + width, image.shape[1])
+    inside = (top < bottom) & (left < right)
+    t, b, l, r = (np.where(inside, c, 0) for c in (top, bottom, left, right))
+    return np.where(inside, area[b, r] - area[t, r] - area[b, l] + area[t, l], np.nan)
+
+
+_MEASURED = T.ArrayType(T.StructType([T.StructField("trace_num", T.IntegerType()), T.StructField("raw", T.DoubleType())]))
+
+
+@F.pandas_udf(_MEASURED)
+def _measured(frame: pd.DataFrame, boxes: pd.Series) -> pd.Series:
+    out = []
+    for pixels, height, width, found in zip(frame["pixels"], frame["height"], frame["width"], boxes):
+        image = np.asarray(pixels, dtype=float).reshape(int(height), int(width))
+        x0, y0, side = (np.array([b[c] for b in found], np.int64) for c in ("x0", "y0", "width"))
+        raw = box_sums(image, x0, y0, side) / side
+        out.append([{"trace_num": b["trace_num"], "raw": r} for b, r in zip(found, raw.tolist()) if r == r])
+    return pd.Series(out)
+
+
 def box_intensity_frames(
     frames: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = BROADCAST_BOXES
 ) -> DataFrame:
-    """The same from packed frames: each frame sums its boxes in place.
+    """The same from packed frames: each frame sums its boxes in place, each box by four look-ups.
 
     Boxes of a recording travel as one array (bounded by the pixels of a frame);
-    frames never leave their partition when the box table is small.
+    frames never leave their partition when the box table is small.  Beyond that they are
+    dealt by recording and frame number, so that a long recording is no single task.
     """
     box = F.struct("trace_num", "x0", "y0", "width")
     lists = boxes.groupBy("datum").agg(F.collect_list(box).alias("boxes"))
     if is_small(boxes, max_broadcast_boxes):
-        lists = F.broadcast(lists)
-
-    def total(b: Column) -> Column:
-        """Sum over the part of a box inside the frame; null without any."""
-        top, bottom = F.greatest(b["y0"], F.lit(0)), F.least(b["y0"] + b["width"], F.col("height")) - 1
-        left, right = F.greatest(b["x0"], F.lit(0)), F.least(b["x0"] + b["width"], F.col("width")) - 1
-        line = F.transform(
-            F.sequence(top, bottom), lambda y: F.aggregate(
-                F.slice("pixels", y * F.col("width") + left + 1, right - left + 1),
-                F.lit(0.0), lambda acc, v: acc + v,
-            )
-        )
-        inside = (top <= bottom) & (left <= right)
-        return F.when(inside, F.aggregate(line, F.lit(0.0), lambda acc, v: acc + v) / b["width"])
-
-    measured = F.transform("boxes", lambda b: F.struct(b["trace_num"].alias("trace_num"), total(b).alias("raw")))
-    return frames.join(lists, "datum").select("datum", "frame", F.explode(measured).alias("m")).filter(
-        "m.raw IS NOT NULL"
-    ).select("datum", "m.trace_num", "frame", "m.raw")
+        met = frames.join(F.broadcast(lists), "datum")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(FRAME_PARTS - 1)))
+        dealt = frames.withColumn("part", F.pmod("frame", F.lit(FRAME_PARTS)))
+        met = dealt.join(lists.withColumn("part", parts), ["datum", "part"])
+    measured = _measured(F.struct("pixels", "height", "width"), F.col("boxes"))
+    return met.select("datum", "frame", F.explode(measured).alias("m")).select(
+        "datum", "m.trace_num", "frame", "m.raw")
 
 
 def column_profile(image: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -303,7 +329,22 @@ def prominent_peaks(y: np.ndarray, x: np.ndarray, v: np.ndarray, prominence: np.
     first = by_pair[np.r_[True, np.diff(pair[by_pair]) > 0]] if len(pair) else by_pair
     first = first[np.argsort(meeting[first], kind="stable")]
 
-    summit = {int(h): int(h) for h in np.unique(hill)}
+    summits = np.unique(hill)
+    kept = _stand_out(
+        v[order[summits]], prominence[order[summits]],
+        np.searchsorted(summits, pair[first] // count), np.searchsorted(summits, pair[first] % count), v[order[meeting[first]]],
+    )
+    return np.sort(order[summits[kept]])
+
+
+def _stand_out(
+    height: np.ndarray, needed: np.ndarray, low: np.ndarray, high: np.ndarray, meeting: np.ndarray
+) -> np.ndarray:
+    """Which summits, numbered from the brightest, lie ``needed`` above the saddle to anything higher.
+
+    Pairs of hills and the brightness where they meet come from the brightest meeting down.
+    """
+    summit = list(range(len(height)))
 
     def root(h: int) -> int:
         while summit[h] != h:
@@ -311,42 +352,145 @@ def prominent_peaks(y: np.ndarray, x: np.ndarray, v: np.ndarray, prominence: np.
             h = summit[h]
         return h
 
-    height, needed, peaks = v[order], prominence[order], []
-    for low, high, at in zip((pair[first] // count).tolist(), (pair[first] % count).tolist(), meeting[first].tolist()):
-        a, b = sorted((root(low), root(high)))
+    peaks = []
+    for one, two, at in zip(low.tolist(), high.tolist(), meeting.tolist()):
+        a, b = sorted((root(one), root(two)))
         if a == b:
             continue
-        if height[b] - height[at] >= needed[b]:
+        if height[b] - at >= needed[b]:
             peaks.append(b)
         summit[b] = a
-    peaks.extend(h for h, top in summit.items() if h == top)
-    return np.sort(order[np.asarray(peaks, dtype=np.int64)])
+    peaks.extend(h for h, top in enumerate(summit) if h == top)
+    return np.asarray(sorted(peaks), dtype=np.int64)
+
+
+# What a tile says of its part of an image: summits, where its border pixels climb to, where hills meet.
+SUMMIT, FLOW, MEETING = 0, 1, 2
+_HILLS = [
+    T.StructField("kind", T.IntegerType()),
+    *(T.StructField(c, T.LongType()) for c in ("a", "b", "at")),  # pixels, as y * 2**32 + x
+    T.StructField("v", T.DoubleType()), T.StructField("level", T.DoubleType()),
+]
+
+
+def _pixel(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (y.astype(np.int64) << 32) | x.astype(np.int64)
+
+
+def tile_hills(y: np.ndarray, x: np.ndarray, v: np.ndarray, level: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+    """Summits, flows and meetings of one tile, whose pixels come with a border of one pixel around (not ``home``).
+
+    Every home pixel climbs to its highest neighbour until it reaches a summit or leaves the tile; the border
+    pixel there says in its own tile where it climbs on.  Of all meetings of two hills the brightest is kept.
+    """
+    order = np.lexsort((x, y, -v))
+    y, x, v, level, home = y[order], x[order], v[order], level[order], home[order]
+    count, none = len(order), len(order)
+    rank = np.full((int(y.max() - y.min()) + 3, int(x.max() - x.min()) + 3), none)
+    rows, cols = y - y.min() + 1, x - x.min() + 1
+    rank[rows, cols] = np.arange(count)  # 0 is the brightest
+    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    highest = np.minimum.reduce([rank[rows + dy, cols + dx] for dy, dx in steps])
+    hill = np.where(home, highest, np.arange(count))
+    while not np.array_equal(hill, up := hill[hill]):
+        hill = up
+    pixel = _pixel(y, x)
+    tops = np.flatnonzero(home & (hill == np.arange(count)))
+    # Home pixels that a neighbouring tile may see: those beside a pixel that is not home, or beside nothing.
+    near = [rank[rows + dy, cols + dx] for dy, dx in steps]
+    at_edge = home & np.logical_or.reduce([(n < none) & ~np.append(home, True)[n] for n in near])
+    one, two = [], []
+    for dy, dx in steps:
+        other = rank[rows + dy, cols + dx]
+        here = np.flatnonzero(home & (other < none))
+        there = other[here]
+        apart = hill[here] != hill[there]
+        one.append(here[apart])
+        two.append(there[apart])
+    here, there = np.concatenate(one), np.concatenate(two)
+    low, high = np.maximum(hill[here], hill[there]), np.minimum(hill[here], hill[there])
+    pair, meeting = low.astype(np.int64) * count + high, np.maximum(here, there)
+    by_pair = np.lexsort((meeting, pair))
+    first = by_pair[np.r_[True, np.diff(pair[by_pair]) > 0]] if len(pair) else by_pair
+    edge = np.flatnonzero(at_edge)
+    parts = [
+        (SUMMIT, pixel[tops], pixel[tops], pixel[tops], v[tops], level[tops]),
+        (FLOW, pixel[edge], pixel[hill[edge]], pixel[edge], v[edge], level[edge]),
+        (MEETING, pixel[low[first]], pixel[high[first]], pixel[meeting[first]], v[meeting[first]], level[meeting[first]]),
+    ]
+    names = [f.name for f in _HILLS]
+    return pd.concat([pd.DataFrame(dict(zip(names, p))) for p in parts], ignore_index=True)
+
+
+def joined_peaks(hills: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, v) in raster order of the peaks of one image from what its tiles say."""
+    tops = hills[hills["kind"] == SUMMIT].sort_values(["v", "a"], ascending=[False, True], ignore_index=True)
+    flow = hills[hills["kind"] == FLOW].sort_values("a", ignore_index=True)
+    meet = hills[hills["kind"] == MEETING]
+    source, target = flow["a"].to_numpy(), flow["b"].to_numpy()
+
+    def climbed(pixel: np.ndarray) -> np.ndarray:
+        while len(source):
+            at = np.minimum(np.searchsorted(source, pixel), len(source) - 1)
+            on = np.where(source[at] == pixel, target[at], pixel)
+            if np.array_equal(on, pixel):
+                break
+            pixel = on
+        return pixel
+
+    by_pixel = np.argsort(tops["a"].to_numpy())
+    ranked = tops["a"].to_numpy()[by_pixel]
+    one, two = (by_pixel[np.searchsorted(ranked, climbed(meet[c].to_numpy()))] for c in ("a", "b"))
+    low, high = np.maximum(one, two), np.minimum(one, two)
+    order = np.lexsort((meet["at"].to_numpy(), -meet["v"].to_numpy()))
+    order = order[(low != high)[order]]
+    kept = _stand_out(tops["v"].to_numpy(), tops["level"].to_numpy(), low[order], high[order], meet["v"].to_numpy()[order])
+    chosen = tops.iloc[kept].sort_values("a")
+    pixel = chosen["a"].to_numpy()
+    return pixel >> 32, pixel & 0xFFFFFFFF, chosen["v"].to_numpy()
+
+
+def _tiled(rows: DataFrame, tile: int, border: int) -> DataFrame:
+    """Pixel rows with ``ty, tx``; pixels within ``border`` of another tile come to it too."""
+    for name, at in (("ty", F.col("y")), ("tx", F.col("x"))):
+        first = F.greatest(F.floor((at - border) / tile), F.lit(0)).cast("int")
+        rows = rows.withColumn(name, F.explode(F.sequence(first, F.floor((at + border) / tile).cast("int"))))
+    return rows
 
 
 def find_maxima(
-    image: DataFrame, prominence: Column | float, keys: Sequence[str] = DATUM
+    image: DataFrame, prominence: Column | float, keys: Sequence[str] = DATUM, tile: int = TILE
 ) -> DataFrame:
     """Peaks of each projected image, numbered in raster order: ``box_num, cx, cy, v``.
 
-    A group is one projection, a single frame in size.
+    Pixels are flooded tile by tile; only summits, border pixels and the places where hills meet come
+    together for an image, whose hills are then joined from the brightest meeting down.
     """
+    keys = list(keys)
     level = prominence if isinstance(prominence, Column) else F.lit(float(prominence))
-    sized = image.select(*keys, "y", "x", F.col("v").cast("double").alias("v"), level.cast("double").alias("_level"))
-    fields = [sized.schema[k] for k in keys] + [
-        T.StructField("box_num", T.IntegerType()), T.StructField("cx", T.IntegerType()),
-        T.StructField("cy", T.IntegerType()), T.StructField("v", T.DoubleType()),
-    ]
+    sized = image.select(
+        *keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        F.col("v").cast("double").alias("v"), level.cast("double").alias("_level"))
+    fields = [sized.schema[k] for k in keys]
+
+    def with_keys(pdf: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, v, at = (pdf[c].to_numpy() for c in ("y", "x", "v", "_level"))
+        home = (y // tile == pdf["ty"].iloc[0]) & (x // tile == pdf["tx"].iloc[0])
+        return with_keys(pdf, tile_hills(y, x, v, at, home))
 
-    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        kept = prominent_peaks(*(pdf[c].to_numpy() for c in ("y", "x", "v", "_level")))
-        chosen = pdf.iloc[kept]
-        out = {k: chosen[k].to_numpy() for k in keys}
-        out.update(box_num=np.arange(1, len(kept) + 1), cx=chosen["x"].to_numpy(),
-                   cy=chosen["y"].to_numpy(), v=chosen["v"].to_numpy())
-        return pd.DataFrame(out)
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, v = joined_peaks(pdf)
+        return with_keys(pdf, pd.DataFrame({"box_num": np.arange(1, len(y) + 1), "cx": x, "cy": y, "v": v}))
 
-    return sized.groupBy(*keys).applyInPandas(peaks, T.StructType(fields))
+    hills = _tiled(sized, tile, 1).groupBy(*keys, "ty", "tx").applyInPandas(flood, T.StructType([*fields, *_HILLS]))
+    peaks = T.StructType([
+        *fields, *(T.StructField(c, T.IntegerType()) for c in ("box_num", "cx", "cy")), T.StructField("v", T.DoubleType())])
+    return hills.groupBy(*keys).applyInPandas(join, peaks)
 
 
 def peak_stats(image: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -376,50 +520,28 @@ def grow_boxes(
 ) -> DataFrame:
     """Grow a square box on every peak until its mean column profile stops falling outwards.
 
-    Result: ``box_num, cx, cy, x0, y0, width, steps, is_kept``.  Each peak joins
-    its 27 x 27 neighbourhood once; the profiles of all 13 steps come from
-    conditional sums per column, and the stopping step is a minimum over steps.
+    Result: ``box_num, cx, cy, x0, y0, width, steps, is_kept``.  Peaks meet the tile of the image around
+    them, where column prefix sums give the profiles of all 13 steps, each mean by two look-ups.
     """
     level = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    keys = list(keys)
     ident = [*keys, "box_num", "cx", "cy", "tolerance"]
     seeds = peaks.select(*[c for c in ident if c != "tolerance"], level.cast("double").alias("tolerance"))
-    span = F.sequence(F.lit(-LAST_STEP), F.lit(LAST_STEP))
-    patch = (
-        seeds.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
-        .withColumn("y", F.col("cy") + F.col("dy")).withColumn("x", F.col("cx") + F.col("dx"))
-    )
-    steps = range(1, LAST_STEP + 1)
-    near = [F.abs("dy") <= j for j in steps]
-    # Means over the pixels that exist; a column wholly outside has no mean.
-    columns = (
-        patch.join(image.select(*keys, "y", "x", F.col("v").cast("double").alias("v")), [*keys, "y", "x"])
-        .groupBy(*ident, "dx")
-        .agg(F.array(*[F.avg(F.when(t, F.col("v"))) for t in near]).alias("means"))
-    )
-    by_step = columns.select(*ident, "dx", F.posexplode("means").alias("pos", "mean")).select(
-        *ident, "dx", "mean", (F.col("pos") + 1).alias("j")
-    ).filter(F.abs("dx") <= F.col("j"))
-
-    def at(dx: Column) -> Column:
-        return F.max(F.when(F.col("dx") == dx, F.col("mean")))
-
-    j = F.col("j")
-    profiles = by_step.groupBy(*ident, "j").agg(
-        at(-j).alias("first"), at(1 - j).alias("second"),
-        at(j).alias("last"), at(j - 1).alias("second_last"),
-        F.max("mean").alias("top"), F.count("mean").alias("present"),
-    )
-    failed = F.coalesce(
-        (F.col("first") < F.col("top") * F.col("tolerance"))
-        | (F.col("last") < F.col("top") * F.col("tolerance"))
-        | (F.col("first") >= F.col("second"))
-        | (F.col("last") >= F.col("second_last")),
-        F.lit(False),
-    )
-    stops = profiles.groupBy(*ident).agg(
-        F.min(F.when(failed | (j == LAST_STEP), j)).alias("profile_stop"),
-        F.map_from_entries(F.collect_list(F.struct("j", (F.col("present") == 2 * j + 1).alias("whole")))).alias("whole"),
-    )
+    pixels = _tiled(image.select(*keys, "y", "x", F.col("v").cast("double").alias("v")), TILE, LAST_STEP)
+    placed = seeds.withColumn("ty", F.floor(F.col("cy") / TILE).cast("int")).withColumn("tx", F.floor(F.col("cx") / TILE).cast("int"))
+    stops_of = T.StructType([
+        *(seeds.schema[c] for c in ident), T.StructField("profile_stop", T.IntegerType()),
+        T.StructField("whole", T.ArrayType(T.BooleanType())),
+    ])
+
+    def profiled(found: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(pdf):
+            return pd.DataFrame(columns=stops_of.names)
+        stop, whole = growth_stops(*(pdf[c].to_numpy() for c in ("y", "x", "v")), *(found[c].to_numpy() for c in ("cy", "cx", "tolerance")))
+        return found[ident].assign(profile_stop=stop, whole=list(whole))
+
+    at = [*keys, "ty", "tx"]
+    stops = placed.groupBy(*at).cogroup(pixels.groupBy(*at)).applyInPandas(profiled, stops_of)
     edge_stop = F.least("cx", "cy", F.lit(width + 1) - F.col("cx"), F.lit(height + 1) - F.col("cy")) + 1
     grown = stops.withColumn("edge_stop", edge_stop).withColumn(
         "steps", F.least("edge_stop", "profile_stop")
@@ -427,7 +549,7 @@ def grow_boxes(
         # At the image edge the box of the step before stays.
         "half", F.when(F.col("edge_stop") <= F.col("profile_stop"), F.col("steps") - 1).otherwise(F.col("steps"))
     )
-    whole = F.coalesce(F.try_element_at("whole", F.col("half")), F.lit(True))
+    whole = F.coalesce(F.try_element_at("whole", F.nullif(F.col("half"), F.lit(0))), F.lit(True))
     return grown.select(
         *keys, "box_num", "cx", "cy",
         (F.col("cx") - F.col("half")).alias("x0"), (F.col("cy") - F.col("half")).alias("y0"),
@@ -436,6 +558,35 @@ def grow_boxes(
     )
 
 
+def growth_stops(
+    y: np.ndarray, x: np.ndarray, v: np.ndarray, cy: np.ndarray, cx: np.ndarray, tolerance: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(the step at which each peak's profile stops it, whether every column of each step has pixels).
+
+    Means are over the pixels that exist; a column wholly outside has no mean and fails no test.
+    """
+    top, left, reach = min(y.min(), cy.min() - LAST_STEP), min(x.min(), cx.min() - LAST_STEP), LAST_STEP
+    shape = (max(y.max(), cy.max() + reach) - top + 2, max(x.max(), cx.max() + reach) - left + 1)
+    total, present = np.zeros(shape), np.zeros(shape, np.int64)
+    total[y - top + 1, x - left], present[y - top + 1, x - left] = v, 1
+    total, present = np.cumsum(total, 0), np.cumsum(present, 0)
+    stop = np.full(len(cy), reach, np.int32)
+    whole = np.zeros((len(cy), reach), bool)
+    open_yet = np.ones(len(cy), bool)
+    for j in range(1, reach + 1):
+        columns = (cx - left)[:, None] + np.arange(-j, j + 1)
+        low, high = (cy - top - j)[:, None], (cy - top + j + 1)[:, None]
+        n = present[high, columns] - present[low, columns]
+        means = np.where(n > 0, (total[high, columns] - total[low, columns]) / np.maximum(n, 1), np.nan)
+        whole[:, j - 1] = (n > 0).all(1)
+        least = np.fmax.reduce(means, axis=1) * tolerance
+        first, second, last, second_last = means[:, 0], means[:, 1], means[:, -1], means[:, -2]
+        failed = (first < least) | (last < least) | (first >= second) | (last >= second_last)
+        stop[open_yet & failed] = j
+        open_yet &= ~failed
+    return stop, whole
+
+
 def valid_box(steps: Column) -> Column:
     """Whether growth stopped within the accepted range of steps."""
     return steps.between(LEAST_STEPS, MOST_STEPS)

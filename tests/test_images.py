@@ -243,3 +243,77 @@ def test_video_to_traces(frames_of, make):
     grid = segmentation_grid(frames, [(5, 3000.0, 0.1), (5, 70000.0, 0.1)], 40, 40)
     counts = {r["prominence"]: r["n_kept"] + r["n_rejected"] for r in grid.collect()}
     assert counts[3000.0] >= 3 and counts[70000.0] == 1
+
+
+def whole_image_peaks(image, prominence):
+    y, x = (a.ravel() for a in np.indices(image.shape))
+    kept = images.prominent_peaks(y, x, image.ravel(), np.full(image.size, float(prominence)))
+    return [(int(y[k]), int(x[k])) for k in kept]
+
+
+def tiled_peaks(image, prominence, tile):
+    import pandas as pd
+
+    y, x = (a.ravel() for a in np.indices(image.shape))
+    v = image.ravel().astype(float)
+    parts = []
+    for ty in range(-(-image.shape[0] // tile)):
+        for tx in range(-(-image.shape[1] // tile)):
+            near = (y >= ty * tile - 1) & (y <= (ty + 1) * tile) & (x >= tx * tile - 1) & (x <= (tx + 1) * tile)
+            yy, xx, vv = y[near], x[near], v[near]
+            home = (yy // tile == ty) & (xx // tile == tx)
+            parts.append(images.tile_hills(yy, xx, vv, np.full(len(vv), float(prominence)), home))
+    py, px, _ = images.joined_peaks(pd.concat(parts, ignore_index=True))
+    return list(zip(py.tolist(), px.tolist()))
+
+
+@pytest.mark.parametrize("shape,tile", [((40, 37), 8), ((9, 30), 1), ((33, 33), 32), ((5, 5), 64)])
+@pytest.mark.parametrize("levels", [3, 1000])
+def test_tiles_give_the_peaks_of_the_whole_image(shape, tile, levels):
+    image = np.random.default_rng(shape[0] + tile).integers(0, levels, shape).astype(float)
+    for prominence in (0.0, 1.0, levels / 3):
+        assert tiled_peaks(image, prominence, tile) == whole_image_peaks(image, prominence)
+
+
+def test_tiles_of_large_images():
+    rng = np.random.default_rng(8)
+    yy, xx = np.indices((512, 600))
+    hills = sum(rng.uniform(20, 200) * np.exp(-((yy - rng.uniform(0, 512)) ** 2 + (xx - rng.uniform(0, 600)) ** 2) / rng.uniform(20, 9000)) for _ in range(150))
+    for image in (np.round(hills, 1), np.round(hills + rng.normal(size=hills.shape), 2)):
+        assert tiled_peaks(image, 5.0, 128) == whole_image_peaks(image, 5.0)
+    spiral = np.zeros((512, 600))
+    spiral[::2] = np.arange(600) + 1000.0 * np.arange(256)[:, None]  # long climbs across many tiles
+    assert tiled_peaks(spiral, 1.0, 128) == whole_image_peaks(spiral, 1.0)
+
+
+def test_tiled_maxima_on_a_table(image_of, monkeypatch):
+    image = np.random.default_rng(12).integers(0, 30, (20, 23)).astype(float)
+    got = [(r["cy"], r["cx"], r["box_num"]) for r in images.find_maxima(image_of({4: image}), 4.0, tile=6).orderBy("box_num").collect()]
+    assert got == [(y, x, k) for k, (y, x) in enumerate(whole_image_peaks(image, 4.0), 1)]
+
+
+def test_box_growth_is_the_same_on_small_tiles(image_of, make, monkeypatch):
+    rng = np.random.default_rng(13)
+    yy, xx = np.indices((48, 50))
+    peaks = [(0, k, int(rng.integers(1, 49)), int(rng.integers(1, 47))) for k in range(1, 9)]
+    image = sum(1000 * np.exp(-((yy - p[3]) ** 2 + (xx - p[2]) ** 2) / 18.0) for p in peaks) + 20
+    seeds = make(peaks, "datum int, box_num int, cx int, cy int")
+    names = ["box_num", "x0", "y0", "width", "steps", "is_kept"]
+    want = sorted(map(tuple, images.grow_boxes(image_of({0: image}), seeds, 0.1, 48, 50).select(names).collect()))
+    monkeypatch.setattr(images, "TILE", 16)
+    assert sorted(map(tuple, images.grow_boxes(image_of({0: image}), seeds, 0.1, 48, 50).select(names).collect())) == want
+    assert len(want) == 8 and any(r[-1] for r in want)
+
+
+def test_box_sums_at_edges_equal_slices(frames_of, make):
+    image = np.random.default_rng(14).integers(0, 99, (12, 10)).astype(float)
+    boxes = [(0, k, x, y, w) for k, (x, y, w) in enumerate([(0, 0, 3), (-2, -1, 5), (8, 9, 5), (3, 4, 7), (20, 2, 3), (-9, 0, 3), (-3, -3, 27)], 1)]
+    table = make(boxes, "datum int, trace_num int, x0 int, y0 int, width int")
+    want = {}
+    for _, k, x, y, w in boxes:
+        part = image[max(y, 0):max(y + w, 0), max(x, 0):max(x + w, 0)]
+        if part.size:
+            want[k] = part.sum() / w
+    for most in (100, 0):
+        got = {r["trace_num"]: r["raw"] for r in images.box_intensity_frames(frames_of({0: [image]}), table, most).collect()}
+        assert got == pytest.approx(want)
