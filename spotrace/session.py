@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,10 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame | None) -> None:
-    """Delete tables that :func:`materialize` has stored, once nothing reads them any more.
-
-    Then lets the driver drop what it no longer refers to, so that the shuffle files of finished steps go too.
-    """
+    """Delete tables that :func:`materialize` has stored, once nothing reads them any more."""
     for df in tables:
         path = getattr(df, "stored_at", None)
         if path is not None:
@@ -62,7 +60,13 @@ def release(*tables: DataFrame | None) -> None:
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(conf).delete(there, True)
             del df.stored_at
-            jvm.System.gc()
+            tidy(df.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget plans that nothing refers to; Spark then deletes the shuffle files they left."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

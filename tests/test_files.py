@@ -172,3 +172,74 @@ def test_video_decoder_hook(spark, tmp_path, make):
     out = str(tmp_path / "frames")
     tables.write_table(spark.createDataFrame(got), out)
     assert tables.read_frames(spark, out).count() == 2
+
+
+class RawVideo:
+    """A made-up format: frame count, height and width as 32-bit numbers, then 16-bit pixels."""
+
+    def count(self, file):
+        return int.from_bytes(file.read(4), "little")
+
+    def read(self, file, start, stop):
+        import numpy as np
+
+        n, height, width = np.frombuffer(file.read(12), "<i4").tolist()
+        file.seek(12 + 2 * height * width * start)
+        for _ in range(start, stop):
+            yield height, width, np.frombuffer(file.read(2 * height * width), "<u2").astype(float).tolist()
+
+
+def raw_video(path, video):
+    import numpy as np
+
+    path.write_bytes(np.array(video.shape, "<i4").tobytes() + video.astype("<u2").tobytes())
+
+
+def test_videos_split_into_ranges_of_frames(spark, tmp_path, make):
+    import numpy as np
+
+    from spotrace.sources import video as source
+
+    folder = tmp_path / "videos"
+    folder.mkdir()
+    rng = np.random.default_rng(1)
+    videos = {3: rng.integers(0, 60_000, (23, 4, 5)), 8: rng.integers(0, 60_000, (2, 3, 3)), 9: np.zeros((0, 2, 2))}
+    for datum, video in videos.items():
+        raw_video(folder / f"v{datum}.raw", video)
+    (folder / "_notes").write_text("")
+    manifest = make([(d, f"/elsewhere/v{d}.raw") for d in videos], "datum int, filepath string")
+    df = source.read_videos(spark, str(folder), RawVideo(), manifest, frames_per_task=5)
+    assert df.rdd.getNumPartitions() == 6
+    got = {(r["datum"], r["frame"]): (r["height"], r["width"], r["pixels"]) for r in df.collect()}
+    want = {(d, f): (*image.shape, image.ravel().astype(float).tolist()) for d, v in videos.items() for f, image in enumerate(v, 1)}
+    assert got == want
+    with pytest.raises(ValueError, match="v8.raw"):
+        source.read_videos(spark, str(folder), RawVideo(), manifest.where("datum <> 8"))
+    (tmp_path / "none").mkdir()
+    assert source.read_videos(spark, str(tmp_path / "none"), RawVideo(), manifest).count() == 0
+
+
+def test_a_range_reads_its_own_bytes_only(tmp_path):
+    import numpy as np
+
+    from spotrace.sources import video as source
+
+    path = tmp_path / "long.raw"
+    raw_video(path, np.arange(1000 * 16 * 16).reshape(1000, 16, 16) % 60_000)
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.total = file, 0
+
+        def read(self, n):
+            self.total += n
+            return self.file.read(n)
+
+        def seek(self, at):
+            self.file.seek(at)
+
+    ranges = source.frame_ranges(str(path), 1, 1000, 64)
+    assert [(r.start, r.stop) for r in ranges][-1] == (960, 1000) and len(ranges) == 16
+    with open(path, "rb") as file:
+        counting = Counting(file)
+        assert len(list(RawVideo().read(counting, 960, 1000))) == 40 and counting.total == 12 + 40 * 512
