@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotrace.llm import words
-from spotrace.session import materialize, release
+from spotrace.session import materialize, release, tidy
 
 TYPES = 1 << 63  # keys of words in the class map: their hashes without the sign
 CLASSES = 64
@@ -285,13 +285,16 @@ def fit(blocks: DataFrame, counted: DataFrame) -> Model:
 
     used = ("tokens", "hashes", "train", "sizes")
     profiles = materialize(profile(blocks.select(*used), first), "profile")
+    tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles), "classes")
     classed = materialize(attached(blocks, counted, classes), "classed")
     release(profiles, classes)
     profiles = materialize(profile(classed.select(*used, "own"), _own), "profile")
+    tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles, transitions(classed)), "classes")
     release(profiles, classed)
     classed = materialize(attached(blocks, counted, classes), "classed")
+    tidy(blocks.sparkSession)
     counts = transitions(classed)
     step = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
     sizes, types = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -369,4 +372,5 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """
     blocks = materialize(to_blocks(docs, train), "blocks")
     counted = materialize(counted_words(blocks), "counted")
+    tidy(docs.sparkSession)
     return score(fit(blocks, counted))
