@@ -61,9 +61,9 @@ actions AS (
   SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST(user_id AS INTEGER) AS trace_num,
          event_id AS seq,
          CASE event_type WHEN 'purchase' THEN 'f' WHEN 'error' THEN 'x'
-                         WHEN 'signup' THEN 'u' WHEN 'view' THEN 'n' END AS action,
+                         WHEN 'signup' THEN 'u' WHEN 'view' THEN 'n' WHEN 'click' THEN 'n' END AS action,
          CAST(round(value) AS INTEGER) AS t1
-  FROM events WHERE event_type <> 'click'),
+  FROM events),
 folded AS (
   SELECT datum, trace_num,
          coalesce(arg_max(action, seq) FILTER (WHERE action IN ('f', 'x', 'u')) = 'f', false) AS is_fusion,
@@ -82,14 +82,11 @@ status AS (
 ORDER_STATUS = """
 segments AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) AS INTEGER) AS datum
              FROM (SELECT DISTINCT c_mktsegment FROM customer)),
-turns AS (SELECT o_custkey, o_orderdate,
-                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn
+pairs AS (SELECT o_custkey, o_orderkey, o_orderdate AS d2,
+                 lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d1
           FROM orders),
-pairs AS (SELECT o_custkey, max(o_orderdate) FILTER (WHERE turn = 1) AS d1,
-                 max(o_orderdate) FILTER (WHERE turn = 2) AS d2
-          FROM turns GROUP BY o_custkey),
 ostatus AS (
-  SELECT datum, CAST(o_custkey AS INTEGER) AS trace_num, d2 IS NOT NULL AS is_fusion,
+  SELECT datum, CAST(o_orderkey AS INTEGER) AS trace_num, d1 IS NOT NULL AS is_fusion,
          CAST(coalesce(date_diff('day', d1, d2), 0) AS INTEGER) AS fusion_start,
          o_custkey % 10 = 0 AS is_excluded
   FROM pairs JOIN customer ON o_custkey = c_custkey JOIN segments USING (c_mktsegment)),

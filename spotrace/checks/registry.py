@@ -11,7 +11,7 @@ from spotrace.checks import fit_sql, image_sql, oracle, standins
 from spotrace.model import TRACE_KEYS
 from spotrace.operators import changepoints as cp
 from spotrace.operators import events, images, labels, review, series, stats
-from spotrace.plans import analysis, segmentation
+from spotrace.plans import analysis, runs, segmentation
 from spotrace.session import materialize, scratch_path
 from spotrace.sources import manifest as manifest_io
 from spotrace.sources import tables
@@ -344,6 +344,48 @@ def fold_actions(spark, sf):
     return _folded(spark, sf)
 
 
+_ALL_TRACES = """everyone AS (SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST(user_id AS INTEGER) AS trace_num FROM events
+  UNION SELECT CAST(c_custkey % 2 AS INTEGER), CAST(c_custkey AS INTEGER) FROM customer),
+whole AS (SELECT datum, trace_num, coalesce(is_reviewed, false) AS is_reviewed, coalesce(is_fusion, false) AS is_fusion,
+  coalesce(binding, 0) AS binding, coalesce(fusion_start, 0) AS fusion_start, coalesce(fusion_end, 0) AS fusion_end,
+  coalesce(is_excluded, false) AS is_excluded FROM everyone LEFT JOIN status USING (datum, trace_num))"""
+
+
+def _everyone(spark, sf):
+    """Users and customers as traces; customers without events are untouched."""
+    people = [("events", "user_id"), ("customer", "c_custkey")]
+    users, customers = (
+        standins.table(spark, sf, t).select((F.col(c) % 2).cast("int").alias("datum"), F.col(c).cast("int").alias("trace_num"))
+        for t, c in people
+    )
+    return users.union(customers).distinct()
+
+
+@query(_with(oracle.ACTIONS, _ALL_TRACES) + f"SELECT {_STATUS} FROM whole")
+def fold_actions_all(spark, sf):
+    return events.fold_actions(standins.event_actions(spark, sf), standins.event_manifest(spark, sf), _everyone(spark, sf))
+
+
+@query(
+    _with(oracle.ACTIONS, _ALL_TRACES)
+    + """SELECT datum, count(*) AS n_traces, count(*) FILTER (WHERE is_reviewed) AS n_reviewed,
+    count(*) FILTER (WHERE is_fusion) AS n_fused, count(*) FILTER (WHERE is_excluded) AS n_excluded
+    FROM whole GROUP BY datum"""
+)
+def review_progress_all(spark, sf):
+    return events.review_progress(_folded(spark, sf), _everyone(spark, sf))
+
+
+@query(
+    _with(oracle.ACTIONS, _ALL_TRACES, """
+placed AS (SELECT *, row_number() OVER (PARTITION BY datum ORDER BY trace_num) AS place FROM whole)""")
+    + """SELECT datum, CAST(coalesce((min(place) FILTER (WHERE NOT is_reviewed) - 1) // 12, -1) AS INTEGER) AS panel
+    FROM placed GROUP BY datum"""
+)
+def resume_panel_all(spark, sf):
+    return review.resume_panel(_folded(spark, sf), traces=_everyone(spark, sf))
+
+
 _RELOAD = """reloaded AS (SELECT datum, trace_num, is_reviewed, is_fusion AND NOT is_excluded AS is_fusion,
   CASE WHEN is_excluded THEN 0 ELSE binding END AS binding,
   CASE WHEN is_excluded THEN 0 ELSE fusion_start END AS fusion_start,
@@ -385,7 +427,7 @@ def resume_panel(spark, sf):
 
 @query(
     """WITH acts AS (SELECT CAST(user_id % 2 AS INTEGER) AS datum, CAST(floor((user_id - 1) / 12.0) AS INTEGER) AS panel,
-      event_id AS seq FROM events WHERE event_type = 'view'),
+      event_id AS seq FROM events WHERE event_type IN ('view', 'click')),
     people AS (SELECT DISTINCT CAST(user_id % 2 AS INTEGER) AS datum, CAST(user_id AS INTEGER) AS trace_num FROM events)
     SELECT a.datum, trace_num, count(*) AS n_actions, max(seq) AS last_seq FROM acts a JOIN people p
     ON p.datum = a.datum AND CAST(floor((trace_num - 1) / 12.0) AS INTEGER) = a.panel GROUP BY ALL"""
@@ -396,14 +438,8 @@ def expand_page_actions(spark, sf):
     people = standins.table(spark, sf, "events").select(
         (F.col("user_id") % 2).cast("int").alias("datum"), F.col("user_id").cast("int").alias("trace_num")
     ).distinct()
-    # Page actions of many users meet on one page: count them per page first.
-    pages = base.select("datum", panel, "seq", "action").groupBy("datum", "panel", "action").agg(
-        F.count("seq").alias("n_actions"), F.max("seq").alias("seq")
-    )
-    expanded = events.expand_page_actions(pages.drop("n_actions"), people)
-    return expanded.join(
-        pages.select("datum", "seq", "n_actions"), ["datum", "seq"]
-    ).select(*TRACE_KEYS, "n_actions", F.col("seq").alias("last_seq"))
+    expanded = events.expand_page_actions(base.select("datum", panel, "seq", "action"), people)
+    return expanded.groupBy(*TRACE_KEYS).agg(F.count("seq").alias("n_actions"), F.max("seq").alias("last_seq"))
 
 
 @query(
@@ -721,6 +757,13 @@ def box_intensity_frames(spark, sf):
     return rounded(images.box_intensity_frames(_frames(spark, sf), standins.event_boxes(spark, sf)), 3, "raw")
 
 
+@query(_BOX_SUM)
+def box_intensity_frames_dealt(spark, sf):
+    # The way taken by box tables too large to broadcast.
+    measured = images.box_intensity_frames(_frames(spark, sf), standins.event_boxes(spark, sf), max_broadcast_boxes=0)
+    return rounded(measured, 3, "raw")
+
+
 @query(
     _with(_IMAGE, oracle.BOXES)
     + f"""SELECT i.datum, b.trace_num AS box_num, i.x, {rnd('avg(v)', 4, 'mean')}, min(v) AS lo, max(v) AS hi
@@ -744,6 +787,12 @@ def find_maxima(spark, sf):
     return images.find_maxima(_image(spark, sf), PROMINENCE)
 
 
+@query(_PEAKS + " SELECT datum, box_num, cx, cy, CAST(v AS DOUBLE) AS v FROM peaks")
+def find_maxima_tiled(spark, sf):
+    # Tiles of five pixels: hills and climbs cross many seams.
+    return images.find_maxima(_image(spark, sf), PROMINENCE, tile=5)
+
+
 @query(_PEAKS + ' SELECT datum, box_num, v AS "min", v AS "max", cx AS bx, cy AS by FROM peaks')
 def peak_stats(spark, sf):
     return images.peak_stats(_image(spark, sf), images.find_maxima(_image(spark, sf), PROMINENCE))
@@ -954,6 +1003,17 @@ def manual_statistics(spark, sf):
     return rounded(rounded(rounded(summary, 4, "shape"), 3, "loc", "scale"), 6, "n_min").drop("label", "r2")
 
 
+@query(_with(oracle.SEARCH_FULL) + f"SELECT {_STATUS} FROM auto_status")
+def automatic_run(spark, sf):
+    # Two runs into one folder: the second does what the first had no manifest row for.
+    root, manifest = scratch_path(spark, "run"), standins.line_manifest(spark, sf)
+    samples = standins.walk_traces(spark, sf)
+    regions = standins.walk_regions(spark, sf)
+    for known in (manifest.where("datum < 2"), manifest):
+        runs.run_automatic(spark, root, samples, None, known, SIDE, regions=regions)
+    return runs.read_results(spark, root, "detections")
+
+
 # --- streams --------------------------------------------------------------
 
 
@@ -1004,3 +1064,18 @@ def stream_box_intensity(spark, sf):
     arriving = spark.readStream.schema(stored.schema).parquet(standins.folder(spark, sf, "event_pixels"))
     stream = streams.box_intensity_stream(arriving, standins.event_boxes(spark, sf), manifest).drop("acquired_at")
     return rounded(_run_stream(spark, stream, "update", ["datum", "trace_num", "frame"]), 3, "raw")
+
+
+@query(_with(oracle.PIXELS) + f"SELECT datum, frame, y, x, {rnd('v', 2, 'v')} FROM pixels")
+def stream_complete_frames(spark, sf):
+    stored = _pixels(spark, sf)
+    streams.use_list_store(spark)
+    arriving = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(
+        standins.folder(spark, sf, "event_pixels"))
+    base = scratch_path(spark, "stream")
+    running = (
+        streams.complete_frames(arriving, SIDE, SIDE).writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return rounded(images.unpack_frames(streams.completed(spark.read.parquet(f"{base}/out"))), 2, "v")

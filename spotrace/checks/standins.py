@@ -19,8 +19,8 @@ from spotrace.session import broadcast_if_small, materialize
 SIDE = 16
 SPLIT = 8
 BOX_LIST = ((1, 4, 4, 3), (2, 10, 6, 5), (3, 8, 12, 3))  # (trace_num, cx, cy, width)
-# Actions by event type; clicks are not actions.
-ACTION_OF = {"purchase": "f", "error": "x", "signup": "u", "view": "n"}
+# Actions by event type.
+ACTION_OF = {"purchase": "f", "error": "x", "signup": "u", "view": "n", "click": "n"}
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -232,26 +232,21 @@ def order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_order_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as particles; fusion lies as many frames in as days between two orders."""
+    """Orders as particles; fusion lies as many frames in as days since the customer's order before.
+
+    A customer's first order never fuses.
+    """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    pairs = (
-        orders.withColumn("turn", F.row_number().over(w))
-        .filter("turn <= 2")
-        .groupBy("o_custkey")
-        .agg(
-            F.max(F.when(F.col("turn") == 1, F.col("o_orderdate"))).alias("first_date"),
-            F.max(F.when(F.col("turn") == 2, F.col("o_orderdate"))).alias("second_date"),
-        )
-    )
+    pairs = orders.withColumn("earlier", F.lag("o_orderdate").over(w))
     segments = broadcast_if_small(order_manifest(spark, sf_dir).select("datum", F.col("label").alias("c_mktsegment")))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(segments, "c_mktsegment")
-    days = F.datediff("second_date", "first_date")
+    days = F.datediff("o_orderdate", "earlier")
     return pairs.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         "datum",
-        F.col("o_custkey").cast("int").alias("trace_num"),
+        F.col("o_orderkey").cast("int").alias("trace_num"),
         F.lit(True).alias("is_reviewed"),
-        F.col("second_date").isNotNull().alias("is_fusion"),
+        F.col("earlier").isNotNull().alias("is_fusion"),
         F.lit(0).alias("binding"),
         F.coalesce(days, F.lit(0)).alias("fusion_start"),
         F.coalesce(days, F.lit(0)).alias("fusion_end"),

@@ -46,9 +46,10 @@ from spotrace.model import (
     SEASON_PERIOD,
     TRACE_KEYS,
 )
+from spotrace.operators.labels import with_recording
 from spotrace.operators.ranking import bucketed_row_number
 from spotrace.operators.series import trend_gradient_of
-from spotrace.session import broadcast_if_small, materialize, release
+from spotrace.session import materialize, release
 
 # A node of the tree of chunk maxima has 2 ** TREE_BITS children.
 TREE_BITS = 6
@@ -427,9 +428,8 @@ def filter_trend_nonfalling(breakpoints: DataFrame) -> DataFrame:
 
 
 def attach_start(df: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Copy start frame and frame interval of the recording onto each row."""
-    small = broadcast_if_small(manifest.select("datum", "start_frame", "time_interval_s"))
-    return df.join(small, "datum")
+    """Copy start frame and frame interval of the recording onto each row; an unknown recording is an error."""
+    return with_recording(df, manifest, "start_frame", "time_interval_s")
 
 
 def region_changepoints(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotrace.functions.chunks import chunk_of
@@ -80,9 +80,12 @@ def dwell_times(status: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def fold_actions(actions: DataFrame, manifest: DataFrame) -> DataFrame:
+def fold_actions(actions: DataFrame, manifest: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """Final state of every trace after its review actions, by sequence.
 
+    With ``traces`` every trace of the recordings has a row, untouched ones not reviewed and not fused, as label
+    files list them; an action on a trace that does not exist is then an error.
+
     ``f`` fuses with the given times and leaves exclusion alone, ``x`` excludes,
     ``u`` undoes both, ``n`` marks reviewed and nothing unsets it.  All parts are
     ordered aggregates, so a busy trace is reduced before the shuffle.
@@ -95,6 +98,8 @@ def fold_actions(actions: DataFrame, manifest: DataFrame) -> DataFrame:
         F.max_by(F.when(action == "f", times), F.when(action == "f", seq)).alias("t"),
         F.max(action == "n").alias("is_reviewed"),
     )
+    if traces is not None:
+        folded = _of_all(traces, folded)
     fused = F.coalesce(F.col("outcome") == "f", F.lit(False))
     binding_kind = F.col("start_frame") == 0
 
@@ -103,7 +108,7 @@ def fold_actions(actions: DataFrame, manifest: DataFrame) -> DataFrame:
 
     return attach_start(folded, manifest).select(
         *TRACE_KEYS,
-        "is_reviewed",
+        F.coalesce("is_reviewed", F.lit(False)).alias("is_reviewed"),
         fused.alias("is_fusion"),
         when_fused(F.col("t.t1"), F.lit(0)).alias("binding"),
         when_fused(F.col("t.t2"), F.col("t.t1")).alias("fusion_start"),
@@ -112,6 +117,19 @@ def fold_actions(actions: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def _unknown_trace() -> Column:
+    return F.raise_error(F.concat(
+        F.lit("no trace "), F.col("trace_num").cast("string"), F.lit(" in recording "), F.col("datum").cast("string")))
+
+
+def _of_all(traces: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows by trace with those that only ``traces`` has; a row of a trace that it lacks is an error."""
+    known = traces.select(*TRACE_KEYS).distinct().withColumn("_known", F.lit(True))
+    met = rows.join(known, list(TRACE_KEYS), "full")
+    number = F.when(F.col("_known"), F.col("trace_num")).otherwise(_unknown_trace().cast(rows.schema["trace_num"].dataType))
+    return met.withColumn("trace_num", number).drop("_known")
+
+
 def reload_status(status: DataFrame) -> DataFrame:
     """What is left of labels after saving and loading: excluded rows lose their fusion."""
     keep = F.col("is_fusion") & ~F.col("is_excluded")
@@ -146,8 +164,12 @@ def click_arity(actions: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def attach_labels(traces: DataFrame, status: DataFrame) -> DataFrame:
-    """Traces with their labels by number."""
-    return traces.join(status, list(TRACE_KEYS))
+    """Traces with their labels by number; a label of a number that the recording lacks is an error."""
+    known = traces.withColumn("_known", F.lit(True))
+    met = status.join(known, list(TRACE_KEYS), "left")
+    number = F.when(F.col("_known"), F.col("trace_num")).otherwise(_unknown_trace().cast(status.schema["trace_num"].dataType))
+    columns = [*traces.columns, *(c for c in status.columns if c not in TRACE_KEYS)]
+    return met.withColumn("trace_num", number).select(*columns)
 
 
 def unknown_labels(traces: DataFrame, status: DataFrame) -> DataFrame:
@@ -168,8 +190,11 @@ def training_set(samples: DataFrame, status: DataFrame) -> DataFrame:
     return samples.join(wanted, list(TRACE_KEYS))
 
 
-def review_progress(status: DataFrame) -> DataFrame:
-    """Counts of reviewed, fused and excluded traces per recording."""
+def review_progress(status: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """Counts of reviewed, fused and excluded traces per recording; with ``traces``, untouched ones count too."""
+    if traces is not None:
+        flags = ("is_reviewed", "is_fusion", "is_excluded")
+        status = _of_all(traces, status.select(*TRACE_KEYS, *flags)).fillna(False, list(flags))
     return status.groupBy("datum").agg(
         F.count(F.lit(1)).alias("n_traces"),
         F.count_if("is_reviewed").alias("n_reviewed"),

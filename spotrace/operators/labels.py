@@ -39,3 +39,13 @@ def match_labels(files: DataFrame, manifest: DataFrame, match: str = "exact") ->
 def unmatched_files(files: DataFrame, matched: DataFrame) -> DataFrame:
     """Files that belong to no recording (an error for the caller)."""
     return files.join(matched.select("filename"), "filename", "left_anti")
+
+
+def with_recording(df: DataFrame, manifest: DataFrame, *columns: str) -> DataFrame:
+    """Add columns of the manifest to rows with a ``datum``; a recording that the manifest lacks is an error."""
+    known = manifest.select(F.col("datum").alias("_datum"), *columns, F.lit(True).alias("_known"))
+    met = df.join(broadcast_if_small(known), F.col("datum") == F.col("_datum"), "left")
+    missing = F.raise_error(F.concat(F.lit("no recording "), F.coalesce(F.col("datum").cast("string"), F.lit("NULL"))))
+    return met.select(*df.columns, *[
+        F.when(F.col("_known"), F.col(c)).otherwise(missing.cast(manifest.schema[c].dataType)).alias(c) for c in columns
+    ])

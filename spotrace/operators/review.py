@@ -64,9 +64,15 @@ def _numbered(rows: DataFrame, name: str = "place") -> DataFrame:
 
 
 def resume_panel(
-    status: DataFrame, rows: int = PANEL_ROWS, cols: int = PANEL_COLS
+    status: DataFrame, rows: int = PANEL_ROWS, cols: int = PANEL_COLS, traces: DataFrame | None = None
 ) -> DataFrame:
-    """Page of the first unreviewed trace in saved order, -1 when all are reviewed."""
+    """Page of the first unreviewed trace in saved order, -1 when all are reviewed.
+
+    With ``traces``, a trace without labels is unreviewed.
+    """
+    if traces is not None:
+        labels = status.select(*TRACE_KEYS, "is_reviewed")
+        status = traces.select(*TRACE_KEYS).distinct().join(labels, list(TRACE_KEYS), "left").fillna(False, ["is_reviewed"])
     first_open = F.min(F.when(~F.col("is_reviewed"), F.col("place")))
     return _numbered(status.select(*TRACE_KEYS, "is_reviewed")).groupBy("datum").agg(
         first_open.alias("first_open")

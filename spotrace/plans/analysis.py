@@ -13,10 +13,11 @@ from spotrace.session import materialize
 
 
 def automatic_events(
-    samples: DataFrame, frames: DataFrame | None, manifest: DataFrame, side: int, **search
+    samples: DataFrame, frames: DataFrame | None, manifest: DataFrame, side: int, regions: DataFrame | None = None, **search
 ) -> tuple[DataFrame, DataFrame]:
-    """Changepoints and automatic labels; regions come from the unfiltered video."""
-    regions = None if frames is None else materialize(region_intensity_frames(frames, side), "regions")
+    """Changepoints and automatic labels; ``regions``, unless given, come from the unfiltered video."""
+    if frames is not None and regions is None:
+        regions = materialize(region_intensity_frames(frames, side), "regions")
     found = materialize(find_changepoints(samples, regions, manifest, **search), "changepoints")
     traces = samples.select(*TRACE_KEYS).distinct()
     return found, auto_status(found, traces, manifest)
@@ -30,7 +31,7 @@ def automatic_statistics(
     return fit_summary(dwell_times(status, manifest), manifest)
 
 
-def manual_statistics(actions: DataFrame, manifest: DataFrame) -> DataFrame:
+def manual_statistics(actions: DataFrame, manifest: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """Folded review actions, saved and reloaded, to the fit of every recording."""
-    status = reload_status(fold_actions(actions, manifest))
+    status = reload_status(fold_actions(actions, manifest, traces))
     return fit_summary(dwell_times(status, manifest), manifest)

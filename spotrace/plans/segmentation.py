@@ -18,7 +18,8 @@ from spotrace.operators.images import (
     subtract_background,
     z_project_frames,
 )
-from spotrace.session import broadcast_if_small, materialize
+from spotrace.operators.labels import with_recording
+from spotrace.session import materialize
 
 
 def clean_frames(frames: DataFrame, manifest: DataFrame | None, background: str | None) -> DataFrame:
@@ -27,8 +28,7 @@ def clean_frames(frames: DataFrame, manifest: DataFrame | None, background: str
         return frames
     if background != "per_frame":
         raise ValueError("background is None or 'per_frame'")
-    radii = broadcast_if_small(manifest.select("datum", "rolling_radius"))
-    return subtract_background(frames.join(radii, "datum"), "rolling_radius").drop("rolling_radius")
+    return subtract_background(with_recording(frames, manifest, "rolling_radius"), "rolling_radius").drop("rolling_radius")
 
 
 def segment(
@@ -46,10 +46,9 @@ def segment(
     # Cleaned frames are read again for the traces, the image by several steps: each is made once.
     cleaned = frames if background is None else materialize(clean_frames(frames, manifest, background), "cleaned")
     image = materialize(rescale_16bit(materialize(z_project_frames(cleaned), "projected")), "image")
-    settings = broadcast_if_small(manifest.select("datum", "peak_prominence", "profile_tolerance"))
-    peaks = find_maxima(image.join(settings, "datum"), F.col("peak_prominence"))
+    peaks = find_maxima(with_recording(image, manifest, "peak_prominence"), F.col("peak_prominence"))
     grown = grow_boxes(
-        image, peaks.join(settings, "datum"), F.col("profile_tolerance"), height, width
+        image, with_recording(peaks, manifest, "profile_tolerance"), F.col("profile_tolerance"), height, width
     )
     boxes = materialize(grown, "boxes")
     kept = renumber_kept(boxes).select("datum", "box_num", "trace_num")

@@ -1,6 +1,8 @@
 import random
 
-from spotrace.operators import events
+import pytest
+
+from spotrace.operators import events, review
 
 MANIFEST = [(0, "Datum-0", 0, 0.5), (1, "Datum-1", 10, 2.0)]
 MANIFEST_SCHEMA = "datum int, label string, start_frame int, time_interval_s double"
@@ -76,3 +78,33 @@ def test_unknown_labels_and_training_set(make, samples_of):
     samples = samples_of({(0, 1): [1, 2], (0, 2): [3]})
     assert [r["trace_num"] for r in events.unknown_labels(samples, status).collect()] == [9]
     assert sorted((r["trace_num"], r["label"]) for r in events.training_set(samples, status).collect()) == [(1, 1), (1, 1)]
+
+
+ACTIONS = "datum int, trace_num int, seq long, action string, t1 double, t2 double, t3 double"
+
+
+def test_untouched_traces_have_a_row(make):
+    actions = make([(0, 2, 1, "n", None, None, None), (1, 1, 2, "f", 3.0, 4.0, 5.0)], ACTIONS)
+    traces = make([(0, 1), (0, 2), (0, 2), (1, 1), (1, 2)], "datum int, trace_num int")
+    folded = events.fold_actions(actions, make(MANIFEST, MANIFEST_SCHEMA), traces)
+    got = {(r[0], r[1]): tuple(r[2:]) for r in folded.select(*events.STATUS_COLUMNS).collect()}
+    none = (False, False, 0, 0, 0, False)
+    assert got == {(0, 1): none, (0, 2): (True, *none[1:]), (1, 1): (False, True, 0, 3, 4, False), (1, 2): none}
+    known = folded.where("NOT (datum = 0 AND trace_num = 1)")
+    counts = {r["datum"]: tuple(r)[1:] for r in events.review_progress(known, traces).collect()}
+    assert counts == {0: (2, 1, 0, 0), 1: (2, 0, 1, 0)}
+    assert {r["datum"]: r["panel"] for r in review.resume_panel(known, 1, 1, traces).collect()} == {0: 0, 1: 0}
+
+
+def test_numbers_and_recordings_that_do_not_exist_are_errors(make, samples_of):
+    manifest = make(MANIFEST, MANIFEST_SCHEMA)
+    traces = make([(0, 1), (1, 1)], "datum int, trace_num int")
+    actions = make([(0, 9, 1, "n", None, None, None)], ACTIONS)
+    with pytest.raises(Exception, match="no trace 9 in recording 0"):
+        events.fold_actions(actions, manifest, traces).collect()
+    status = make([(0, 1, True), (0, 7, True)], "datum int, trace_num int, is_reviewed boolean")
+    with pytest.raises(Exception, match="no trace 7 in recording 0"):
+        events.attach_labels(traces, status).collect()
+    assert events.attach_labels(traces, status.where("trace_num = 1")).count() == 1
+    with pytest.raises(Exception, match="no recording 5"):
+        events.dwell_times(make([(5, 1, True, 0, 3, False)], "datum int, trace_num int, is_fusion boolean, binding int, fusion_start int, is_excluded boolean"), manifest).collect()

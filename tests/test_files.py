@@ -243,3 +243,25 @@ def test_a_range_reads_its_own_bytes_only(tmp_path):
     with open(path, "rb") as file:
         counting = Counting(file)
         assert len(list(RawVideo().read(counting, 960, 1000))) == 40 and counting.total == 12 + 40 * 512
+
+
+def test_reference_names_and_labels_anywhere(spark, tmp_path, make):
+    """Files named by label and kind, read exactly and by a label anywhere in the name."""
+    manifest = make([(0, "Run_1", 0), (1, "Run_2", 30)], "datum int, label string, start_frame int")
+    for folder, tag, texts in (
+        ("s", "FusionOutput", ["TraceNum,isReviewed\n1,1,1,5,20,22,0\n2,0,0,0,0,0,1\n", "TraceNum\n4,1,1,40,44,0\n"]),
+        ("c", "Changepoints", ["1,10,20\n2\n", "4,33\n"]), ("t", "Times", ["1.5,2.5\n", "3.0\n"]),
+    ):
+        (tmp_path / folder).mkdir()
+        for k, body in enumerate(texts, 1):
+            (tmp_path / folder / f"Run_{k}_IntensityTraces_{tag}.txt").write_text(body)
+    for match in ("exact", "contains"):
+        status = sorted(tuple(r) for r in text.read_status(spark, str(tmp_path / "s"), manifest, match).collect())
+        assert status == [(0, 1, True, True, 5, 20, 22, False), (0, 2, False, False, 0, 0, 0, True), (1, 4, True, True, 0, 40, 44, False)]
+        lists = sorted(tuple(r) for r in text.read_changepoints(spark, str(tmp_path / "c"), manifest, match).collect())
+        assert lists == [(0, 1, [10, 20]), (0, 2, []), (1, 4, [33])]
+        assert sorted(tuple(r) for r in text.read_dwell_times(spark, str(tmp_path / "t"), manifest, match).collect()) == [(0, 1.5), (0, 2.5), (1, 3.0)]
+    (tmp_path / "s" / "Other_IntensityTraces_FusionOutput.txt").write_text("TraceNum\n1,0,0,0,0,0,0\n")
+    with pytest.raises(Exception, match="no recording for file"):
+        text.read_status(spark, str(tmp_path / "s"), manifest).collect()
+    assert text.read_status(spark, str(tmp_path / "s"), manifest, unmatched="drop").count() == 3
