@@ -61,7 +61,10 @@ def to_blocks(docs: DataFrame, train: Column) -> DataFrame:
             hashes = np.concatenate([h for _, h, _ in held])
             sizes = np.concatenate([s for _, _, s in held])
             keys = [k for ks, _, _ in held for k in ks]
-            types, of = np.unique(hashes, return_inverse=True)
+            types, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which take little room when they are stored.
+            place = np.argsort(-n, kind="stable")
+            types, of = types[place], np.argsort(place)[of]
             learn = np.array([bool(k["t"]) for k in keys], bool)
             counts = np.bincount(of[np.repeat(learn, sizes)], minlength=len(types))
             row = {
@@ -287,13 +290,13 @@ def fit(blocks: DataFrame, counted: DataFrame) -> Model:
     profiles = materialize(profile(blocks.select(*used), first), "profile")
     tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles), "classes")
-    classed = materialize(attached(blocks, counted, classes), "classed")
+    classed = materialize(attached(blocks, counted, classes), "classed", "zstd")
     release(profiles, classes)
     profiles = materialize(profile(classed.select(*used, "own"), _own), "profile")
     tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles, transitions(classed)), "classes")
     release(profiles, classed)
-    classed = materialize(attached(blocks, counted, classes), "classed")
+    classed = materialize(attached(blocks, counted, classes).drop("hashes"), "classed", "zstd")
     tidy(blocks.sparkSession)
     counts = transitions(classed)
     step = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
@@ -321,7 +324,7 @@ SCORES = T.StructType([
 def score(model: Model) -> DataFrame:
     """Scores of all documents of the model's blocks, those to learn from and the others."""
 
-    blocks = model.blocks.drop("block", "hashes")
+    blocks = model.blocks.drop("block")
     model = replace(model, classes=None, blocks=None)
 
     def scored(block: pd.DataFrame) -> pd.DataFrame:
@@ -370,7 +373,9 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     empty and scores its end alone; repeated rows are scored as often as they come; other
     columns are not read; without training rows both scores are 0, an empty table gives no rows.
     """
-    blocks = materialize(to_blocks(docs, train), "blocks")
-    counted = materialize(counted_words(blocks), "counted")
+    blocks = materialize(to_blocks(docs, train), "blocks", "zstd")
+    counted = materialize(counted_words(blocks), "counted", "zstd")
     tidy(docs.sparkSession)
-    return score(fit(blocks, counted))
+    model = fit(blocks, counted)
+    release(blocks, counted)
+    return score(model)
