@@ -730,6 +730,11 @@ def z_project_frames(spark, sf):
     return rounded(images.z_project_frames(_frames(spark, sf)), 2, "v")
 
 
+@query(SQL["z_project_max"])
+def z_project_max_frames(spark, sf):
+    return images.z_project_frames(_frames(spark, sf), method="max", stop=4)
+
+
 @query(SQL["region_intensity"])
 def region_intensity_frames(spark, sf):
     return rounded(images.region_intensity_frames(_frames(spark, sf), SIDE), 2, "raw")
@@ -976,6 +981,23 @@ def measurements_roundtrip(spark, sf):
     return read.select("datum", "box_num", "area", "bx", "by")
 
 
+@query(_PEAKS + ' SELECT datum, box_num, v AS "min", v AS "max", cx AS bx, cy AS "by" FROM peaks')
+def peaks_roundtrip(spark, sf):
+    path = scratch_path(spark, "peaks")
+    peaks = images.find_maxima(_image(spark, sf), PROMINENCE)
+    tables.write_measurements(images.peak_stats(_image(spark, sf), peaks), path)
+    read = spark.read.option("header", True).schema("box_num int, min int, max int, bx int, by int, datum int").csv(path)
+    return read.select("datum", "box_num", "min", "max", "bx", "by")
+
+
+@query(_GROWN + " SELECT datum, box_num, cx, cy, x0, y0, width, steps, is_kept FROM grown WHERE is_kept")
+def boxes_roundtrip(spark, sf):
+    path = scratch_path(spark, "boxes")
+    tables.write_table(_boxes(spark, sf), path)
+    kept = tables.read_boxes(spark, path, kept_only=True)
+    return kept.select("datum", "box_num", "cx", "cy", "x0", "y0", "width", "steps", "is_kept")
+
+
 # --- whole runs -----------------------------------------------------------
 
 _AUTO_DWELL = """autodwell AS (SELECT datum, CAST((fusion_start - CASE WHEN start_frame = 0 THEN binding ELSE start_frame END)

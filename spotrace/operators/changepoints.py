@@ -379,29 +379,29 @@ def accepted_breakpoints(
 
 
 def rank_transform(
-    samples: DataFrame, keys: Sequence[str] = TRACE_KEYS, buckets: int = 1024
+    samples: DataFrame, keys: Sequence[str] = TRACE_KEYS, buckets: int = 64
 ) -> DataFrame:
     """Replace ``raw`` by its average rank within the trace (the rank-cost variant).
 
-    Distinct values are counted map-side; the running count over them is split
-    by value range so that no trace is ranked in one task.
+    Distinct values are counted map-side.  The running count over them is split at quantiles of the distinct values
+    of the trace, from a sketch of bounded size, so that neither an outlier nor a heavy tie puts a trace into one
+    task; how good the sketch is changes the size of the parts only.  Samples then meet the rank of their
+    value; a value that holds much of a trace is one row on the other side, so Spark may split its samples.
     """
-    stats = samples.groupBy(*keys).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-    bucket = F.coalesce(
-        F.expr(f"try_divide((raw - lo) * {buckets}, hi - lo)").cast("int"), F.lit(0)
-    )
-    counts = (
-        samples.groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("c")).join(stats, list(keys))
-        .withColumn("bucket", bucket).drop("lo", "hi")
-    )
+    counts = samples.groupBy(*keys, "raw").agg(F.count(F.lit(1)).alias("c"))
+    quantiles = [k / buckets for k in range(1, buckets)]
+    splits = counts.groupBy(*keys).agg(F.percentile_approx("raw", quantiles, 20 * buckets).alias("splits"))
+    placed = counts.join(splits, list(keys)).withColumn(
+        "bucket", F.size(F.filter("splits", lambda s: s < F.col("raw")))
+    ).drop("splits")
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("b")).select(
+    offsets = placed.groupBy(*keys, "bucket").agg(F.sum("c").alias("b")).select(
         *keys, "bucket", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("before")
     )
     inside = Window.partitionBy(*keys, "bucket").orderBy("raw").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ranks = counts.join(offsets, [*keys, "bucket"]).select(
+    ranks = placed.join(offsets, [*keys, "bucket"]).select(
         *keys, "raw",
         (F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0)) + (F.col("c") + 1) / 2)
         .alias("rank"),

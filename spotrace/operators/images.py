@@ -122,13 +122,18 @@ def z_project(
     return pixels.groupBy(*keys, "y", "x").agg(combine("v").alias("v"))
 
 
-def z_project_frames(frames: DataFrame, keys: Sequence[str] = DATUM) -> DataFrame:
-    """Sum projection of packed frames, one row per pixel.
+def z_project_frames(
+    frames: DataFrame, keys: Sequence[str] = DATUM, method: str = "sum", stop: int | None = None
+) -> DataFrame:
+    """Projection of packed frames, one row per pixel: ``sum``, or ``max`` of the first ``stop`` frames.
 
-    Each task adds up the frames it reads as arrays and hands on one partial
+    Each task combines the frames it reads as arrays and hands on one partial
     image per recording, so the shuffle carries images, not frames.
     """
     keys = list(keys)
+    if stop is not None:
+        frames = frames.filter(F.col("frame") <= stop)
+    combine, arrays = {"sum": (F.sum, np.add), "max": (F.max, np.maximum)}[method]
     fields = [frames.schema[k] for k in keys] + [frames.schema["width"]]
     partial = T.StructType([*fields, T.StructField("pixels", T.ArrayType(T.DoubleType()))])
 
@@ -138,7 +143,7 @@ def z_project_frames(frames: DataFrame, keys: Sequence[str] = DATUM) -> DataFram
             for row in zip(*[pdf[c] for c in (*keys, "width", "pixels")]):
                 image = np.asarray(row[-1], dtype=float)
                 held = sums.get(row[:-1])
-                sums[row[:-1]] = image.copy() if held is None else held + image
+                sums[row[:-1]] = image.copy() if held is None else arrays(held, image)
             if len(sums) > HELD_IMAGES:
                 yield _image_rows(sums, partial)
                 sums = {}
@@ -149,7 +154,7 @@ def z_project_frames(frames: DataFrame, keys: Sequence[str] = DATUM) -> DataFram
     return images.select(*keys, "width", F.posexplode("pixels").alias("pos", "v")).groupBy(
         *keys, F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"),
         (F.col("pos") % F.col("width")).alias("x"),
-    ).agg(F.sum("v").alias("v"))
+    ).agg(combine("v").alias("v"))
 
 
 def _image_rows(sums: dict[tuple, np.ndarray], schema: T.StructType) -> pd.DataFrame:

@@ -99,12 +99,14 @@ def _shape_and_likelihood(sums: DataFrame) -> DataFrame:
 
 
 def gamma_fit(counts: DataFrame) -> DataFrame:
-    """Three-parameter gamma fit per recording: ``n, shape, loc, scale, log_lik``.
+    """Three-parameter gamma fit per recording: ``n, shape, loc, scale, log_lik, at_bound, gradient``.
 
     The likelihood is profiled over the location.  The likelihood of a gamma
     distribution grows without bound as the location meets the smallest
     observation, so trial locations stay a fixed fraction of the range away.
-    Recordings whose dwell times are all equal have no fit.
+    Recordings whose dwell times are all equal have no fit.  ``at_bound`` tells that the best location lies at an end of
+    those tried; ``gradient`` is the slope of the profile there, in log-likelihood per observation and range: near
+    zero inside, and what the bound holds back at an end.
     """
     spans = counts.groupBy("datum").agg(
         F.min("dwell_s").alias("lo"), F.max("dwell_s").alias("hi"), F.sum("c").alias("n")
@@ -137,7 +139,14 @@ def gamma_fit(counts: DataFrame) -> DataFrame:
             .withColumnRenamed("e", "centre")
         )
         reach = step
-    return best.select("datum", "n", "shape", "loc", "scale", "log_lik")
+    e, span = F.col("centre"), F.col("hi") - F.col("lo")
+    met = counts.select("datum", "dwell_s", "c").join(best, "datum")
+    inverse = met.groupBy("datum").agg((F.sum(F.col("c") / (F.col("dwell_s") - F.col("loc"))) / F.max("n")).alias("inverse"))
+    return best.join(inverse, "datum").select(
+        "datum", "n", "shape", "loc", "scale", "log_lik",
+        ((e <= LOC_LOW + reach / 2) | (e >= LOC_HIGH - reach / 2)).alias("at_bound"),
+        ((1 / F.col("scale") - (F.col("shape") - 1) * F.col("inverse")) * span).alias("gradient"),
+    )
 
 
 def fitted_curve(counts: DataFrame, fit: DataFrame) -> DataFrame:
@@ -169,7 +178,7 @@ def fit_summary(dwell: DataFrame, manifest: DataFrame | None = None) -> DataFram
     fit = materialize(gamma_fit(counts), "fit")
     moments = dwell_moments(counts)
     quality = r_squared(fitted_curve(counts, fit))
-    joined = moments.join(fit.drop("n"), "datum", "left").join(quality, "datum", "left")
+    joined = moments.join(fit.drop("n", "at_bound", "gradient"), "datum", "left").join(quality, "datum", "left")
     if manifest is not None:
         joined = joined.join(manifest.select("datum", "label"), "datum", "left")
     first = ["datum"] + (["label"] if manifest is not None else [])

@@ -16,6 +16,7 @@ from spotrace.operators.images import (
     renumber_kept,
     rescale_16bit,
     subtract_background,
+    unpack_frames,
     z_project_frames,
 )
 from spotrace.operators.labels import with_recording
@@ -31,6 +32,20 @@ def clean_frames(frames: DataFrame, manifest: DataFrame | None, background: str
     return subtract_background(with_recording(frames, manifest, "rolling_radius"), "rolling_radius").drop("rolling_radius")
 
 
+def photobleaching_image(
+    frames: DataFrame, manifest: DataFrame, stop: int, background: bool = True, height: int = FRAME_SIDE, width: int = FRAME_SIDE
+) -> DataFrame:
+    """The image in which fading particles are sought: the maximum of the first ``stop`` frames, rescaled.
+
+    Background goes after the projection here, once per recording.
+    """
+    projected = materialize(z_project_frames(frames, method="max", stop=stop), "projected")
+    if background:
+        still = pack_frames(projected.withColumn("frame", F.lit(1)), height, width)
+        projected = unpack_frames(clean_frames(still, manifest, "per_frame")).drop("frame")
+    return rescale_16bit(materialize(projected, "cleaned"))
+
+
 def segment(
     frames: DataFrame,
     manifest: DataFrame,

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotrace.operators import images
-from spotrace.plans.segmentation import extract_traces, segment, segmentation_grid
+from spotrace.plans.segmentation import extract_traces, photobleaching_image, segment, segmentation_grid
 
 FRAME_SCHEMA = "datum int, frame int, height int, width int, pixels array<double>"
 
@@ -317,3 +317,13 @@ def test_box_sums_at_edges_equal_slices(frames_of, make):
     for most in (100, 0):
         got = {r["trace_num"]: r["raw"] for r in images.box_intensity_frames(frames_of({0: [image]}), table, most).collect()}
         assert got == pytest.approx(want)
+
+
+def test_photobleaching_image(frames_of, make):
+    video = np.random.default_rng(15).integers(0, 500, (6, 9, 8)).astype(float)
+    manifest = make([(0, 2)], "datum int, rolling_radius int")
+    top = video[:3].max(0)
+    for background, image in ((False, top), (True, images.remove_background(top, 2))):
+        span = image.max() - image.min()
+        want = np.floor((image - image.min()) * 65535 / span + 0.5)
+        assert np.array_equal(to_array(photobleaching_image(frames_of({0: video}), manifest, 3, background, 9, 8), (9, 8)), want)

@@ -71,3 +71,45 @@ def test_r_squared_matches_row_by_row(make):
     p = np.arange(1, 301) / 300
     want = 1 - ((p - np.array([f[v] for v in t])) ** 2).sum() / ((p - p.mean()) ** 2).sum()
     assert stats.r_squared(curve).first()["r2"] == pytest.approx(want, abs=1e-10)
+
+
+def plain_series(a, z):
+    """The power series in extended precision, as many terms as it takes."""
+    a, z = np.longdouble(a), np.longdouble(z)
+    # Stirling's series; shapes here are large.
+    log = a * np.log(z / a) - (z - a) + np.log(a / (2 * np.longdouble(np.pi))) / 2 - 1 / (12 * a) + 1 / (360 * a**3)
+    term = total = 1 / a
+    k = 0
+    while term > total * np.longdouble(1e-20):
+        k += 1
+        term *= z / (a + k)
+        total += term
+    return float(total * np.exp(log))
+
+
+@pytest.mark.parametrize("shape", [500.0, 2_000.0, 1e5, 1e6, 1e8])
+def test_large_shapes_equal_the_series(shape):
+    offsets = np.array([-9.0, -4.0, -1.0, -0.01, 0.0, 0.3, 2.0, 5.0])
+    z = shape + offsets * np.sqrt(shape)
+    got = lower_incomplete(np.full(len(z), shape), z)
+    assert np.all(np.diff(got) > 0)
+    for value, at in zip(got, z):
+        assert value == pytest.approx(plain_series(shape, at), abs=1e-10)
+    assert lower_incomplete(np.array([shape, shape, 2.0]), np.array([shape * 0.1, shape * 5, 1e9])).tolist() == [0.0, 1.0, 1.0]
+
+
+def test_fit_tells_bounds_and_slope(make):
+    rng = np.random.default_rng(21)
+    rows = [(0, float(v)) for v in 5 + rng.gamma(4.0, 2.0, size=4000)] + [(1, float(v)) for v in rng.exponential(3.0, size=4000)]
+    fit = {r["datum"]: r for r in stats.gamma_fit(stats.dwell_counts(make(rows, SCHEMA))).collect()}
+    assert not fit[0]["at_bound"] and abs(fit[0]["gradient"]) < 0.05
+    for d, r in fit.items():  # the slope against a difference quotient of the likelihood
+        x = np.array([v for k, v in rows if k == d])
+        span, h = x.max() - x.min(), 1e-6
+
+        def likelihood(loc):
+            e = x - loc
+            return ((r["shape"] - 1) * np.log(e) - e / r["scale"]).mean()
+
+        slope = (likelihood(r["loc"] + h) - likelihood(r["loc"] - h)) / (2 * h) * span
+        assert r["gradient"] == pytest.approx(slope, rel=1e-3, abs=1e-3)
