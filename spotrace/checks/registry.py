@@ -641,7 +641,7 @@ quality AS (SELECT c.datum, 1 - sum(power(CAST(c.i AS DOUBLE) / c.n - p.fit, 2))
 
 @query(_with(_FIT) + f"SELECT datum, n, {rnd('shape', 4, 'shape')}, {rnd('loc', 3, 'loc')}, {rnd('scale', 3, 'scale')} FROM fit")
 def gamma_fit(spark, sf):
-    fit = stats.gamma_fit(_counts(spark, sf)).drop("log_lik").withColumn("n", F.col("n").cast("long"))
+    fit = stats.gamma_fit(_counts(spark, sf)).drop("log_lik", "at_bound", "gradient").withColumn("n", F.col("n").cast("long"))
     return rounded(rounded(fit, 4, "shape"), 3, "loc", "scale")
 
 
