@@ -207,19 +207,34 @@ def exchange(profiles: DataFrame, matrix: np.ndarray | None = None, steps: int =
 
 
 def attached(blocks: DataFrame, counted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks with the classes and counts of their words (columns of CLASSED); each meets its own words only."""
+    """Blocks with the classes and counts of their words (columns of CLASSED), stored; each meets its own words only.
 
-    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for row in block.itertuples():
-            own, c = np.ones(len(row.hashes), np.uint8), np.zeros(len(row.hashes), np.int64)
-            own[found["place"].to_numpy()] = found["class"].to_numpy()
-            c[found["place"].to_numpy()] = found["c"].to_numpy()
-            rows.append((row.block, row.doc_ids, row.train, row.sizes, row.tokens, row.hashes, own.tobytes(), c.tobytes()))
-        return pd.DataFrame(rows, columns=CLASSED.names)
+    Words are gathered per block first and stored, two short arrays, so that the blocks themselves move once.
+    """
+    placed = counted.where("c > 0").join(classes, "hash").select("block", "place", "c", "class")
 
-    placed = counted.where("c > 0").join(classes, "hash").select(F.expr("block + 0").alias("of"), "place", "c", "class")
-    return blocks.drop("counts").groupBy("block").cogroup(placed.groupBy("of")).applyInPandas(run, CLASSED)
+    def gather(found: pd.DataFrame) -> pd.DataFrame:
+        n = int(found["place"].max()) + 1
+        own, c = np.ones(n, np.uint8), np.zeros(n, np.int64)
+        own[found["place"].to_numpy()] = found["class"].to_numpy()
+        c[found["place"].to_numpy()] = found["c"].to_numpy()
+        return pd.DataFrame({"block": found["block"].iloc[:1], "own": [own.tobytes()], "c": [c.tobytes()]})
+
+    marks = materialize(placed.groupBy("block").applyInPandas(gather, "block long, own binary, c binary"), "marks", "zstd")
+    tidy(blocks.sparkSession)
+
+    def attach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["hashes"].map(len)
+            for name, kind, rest in (("own", np.uint8, 1), ("c", np.int64, 0)):
+                known = [np.frombuffer(x or b"", kind) for x in batch[name]]
+                batch[name] = [np.append(k, np.full(m - len(k), rest, kind)).tobytes() for k, m in zip(known, n)]
+            yield batch[CLASSED.names]
+
+    met = blocks.drop("counts").join(marks, "block", "left").mapInPandas(attach, CLASSED)
+    classed = materialize(met, "classed", "zstd")
+    release(marks)
+    return classed
 
 
 def transitions(blocks: DataFrame) -> np.ndarray:
@@ -290,14 +305,14 @@ def fit(blocks: DataFrame, counted: DataFrame) -> Model:
     profiles = materialize(profile(blocks.select(*used), first), "profile")
     tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles), "classes")
-    classed = materialize(attached(blocks, counted, classes), "classed", "zstd")
-    release(profiles, classes)
+    release(profiles)
+    classed = attached(blocks, counted, classes)
+    release(classes)
     profiles = materialize(profile(classed.select(*used, "own"), _own), "profile")
     tidy(blocks.sparkSession)
     classes = materialize(exchange(profiles, transitions(classed)), "classes")
     release(profiles, classed)
-    classed = materialize(attached(blocks, counted, classes).drop("hashes"), "classed", "zstd")
-    tidy(blocks.sparkSession)
+    classed = attached(blocks, counted, classes)
     counts = transitions(classed)
     step = (counts + PRIOR) / (counts + PRIOR).sum(1, keepdims=True)
     sizes, types = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -324,7 +339,7 @@ SCORES = T.StructType([
 def score(model: Model) -> DataFrame:
     """Scores of all documents of the model's blocks, those to learn from and the others."""
 
-    blocks = model.blocks.drop("block")
+    blocks = model.blocks.drop("block", "hashes")
     model = replace(model, classes=None, blocks=None)
 
     def scored(block: pd.DataFrame) -> pd.DataFrame:
