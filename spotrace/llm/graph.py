@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spotrace.session import materialize, release
 
+FILE_ROWS = 100_000  # edges of a round that make a file
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest node around it."""
@@ -36,7 +38,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current = materialize(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(current)
     while state[0]:
-        earlier, current = current, materialize(_small_star(_large_star(current)), "edges")
+        # No round has more edges than the one before; few edges make few files.
+        files = 1 + state[0] // FILE_ROWS
+        earlier, current = current, materialize(_small_star(_large_star(current)).coalesce(files), "edges")
         before, state = state, _state(current)
         release(earlier)
         if before == state:

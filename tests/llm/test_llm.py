@@ -346,6 +346,36 @@ def test_rare_shingles_lose_no_pair(spark):
                 assert (a, b) in together
 
 
+def test_near_misses_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(41, 120).split()
+    texts = []
+    for k in range(90):  # about as alike as the threshold asks for, some more and some less
+        v = list(base)
+        for i in rng.sample(range(len(v)), 3 + k % 3):
+            v[i] = "edit%d" % rng.randrange(10**6)
+        texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rounds, merge = [], graph.components
+    monkeypatch.setattr(near_dedup.graph, "components", lambda *a: rounds.append(1) or merge(*a))
+    monkeypatch.setattr(near_dedup, "WHOLE", 50)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.deduplicate(docs).collect()}
+    sets = {k: grams(t) for k, t in enumerate(texts)}
+    assert got == groups_of(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert len(rounds) <= 3
+
+
+def test_intersections_of_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    one, two = ([np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype("<u8")) for _ in range(n)] for n in (7, 5))
+    monkeypatch.setattr(near_dedup, "COLUMNS", 16)
+    want = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    assert near_dedup.intersections(one, two).tolist() == want
+    assert near_dedup.intersections(one[:1], [np.array([10**9], "<u8")]).tolist() == [[0]]
+
+
 def test_near_dedup_on_odd_rows(odd, no_docs):
     got = near_dedup.deduplicate(odd).collect()
     assert len(got) == odd.count()
