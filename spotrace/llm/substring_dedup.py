@@ -313,30 +313,43 @@ def _verified(cut: DataFrame, stretches: DataFrame, least: int, percent: int) ->
 
 
 def _outermost(spans: DataFrame) -> DataFrame:
-    """Spans without those that lie inside a span of the same document found in an earlier other document."""
+    """Spans without those that lie inside a span of the same document found in an earlier other document.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["other_doc_id", "start", "end"], ignore_index=True)
+    Rows stream by document and other document; only the outer spans of one document are held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: tuple | None = None
         starts: list[int] = []  # of the spans held, with their ends; both rise
         ends: list[int] = []
-        keep = []
-        for _, part in rows.groupby("other_doc_id"):
-            new = []
-            for s, e in zip(part["start"].tolist(), part["end"].tolist()):
+        new: list[tuple[int, int]] = []
+        for rows in batches:
+            keep = []
+            for doc, other, s, e in zip(*(rows[c].tolist() for c in order)):
+                if met != (doc, other):
+                    if met is None or met[0] != doc:
+                        starts, ends, new = [], [], []
+                    for span in new:
+                        _hold(starts, ends, *span)
+                    met, new = (doc, other), []
                 k = bisect_right(starts, s)
                 keep.append(not (k and ends[k - 1] >= e))
                 if keep[-1]:
                     new.append((s, e))
-            for s, e in new:
-                k = bisect_right(starts, s)
-                if k and ends[k - 1] >= e:
-                    continue
-                first = k - (k > 0 and starts[k - 1] == s)
-                last = bisect_right(ends, e)
-                starts[first:max(first, last)], ends[first:max(first, last)] = [s], [e]
-        return rows[keep]
+            yield rows.loc[np.array(keep, bool)]
+
+    order = ["doc_id", "other_doc_id", "start", "end"]
+    return spans.repartition("doc_id").sortWithinPartitions(*order).mapInPandas(run, SPANS)
+
 
-    return spans.groupBy("doc_id").applyInPandas(run, SPANS)
+def _hold(starts: list[int], ends: list[int], s: int, e: int) -> None:
+    """Add a span to those held, unless it lies inside one, in place of those inside it."""
+    k = bisect_right(starts, s)
+    if k and ends[k - 1] >= e:
+        return
+    first = k - (k > 0 and starts[k - 1] == s)
+    last = bisect_right(ends, e)
+    starts[first:max(first, last)], ends[first:max(first, last)] = [s], [e]
 
 
 def duplicate_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:

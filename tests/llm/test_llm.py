@@ -506,6 +506,19 @@ def test_windows_of_all_functions_find_changed_passages(spark):
     assert missed[-1] < 0.01
 
 
+def test_outermost_spans_stream_by_document(spark):
+    rng = random.Random(3)
+    rows = set()
+    for _ in range(1500):
+        doc, s = rng.randrange(1, 60), rng.randrange(300)
+        rows.add((doc, s, s + rng.randrange(50, 120), rng.randrange(doc), 0, 60, 1.0))
+    got = substring_dedup._outermost(spark.createDataFrame(sorted(rows), substring_dedup.SPANS))
+    want = {r for r in rows if not any(
+        q[0] == r[0] and q[3] < r[3] and q[1] <= r[1] and q[2] >= r[2] for q in rows)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_url_filter_by_brute_force(spark):
     urls = [None, "", "no scheme", "http://Blog.Example.COM/en/1?x=1", "https://www.example.com/en/a#b", "http://x.net/es/1",
             "http://x.net/fr", "http://net/fr/", "http://example.com", "http://a.b.com/", "ftp://É.Org?q://z", "http://notcom/x"]
